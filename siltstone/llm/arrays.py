@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 SLICE_BYTES = 2 << 20
@@ -59,7 +60,7 @@ def buckets(spark: SparkSession, at_least: int = 8) -> int:
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` bytes of text; a longer text is alone."""
     col = batch.column(batch.schema.get_field_index(column))
-    size = np.asarray(pa.compute.binary_length(col).fill_null(0)).astype(np.int64)
+    size = np.asarray(pc.binary_length(col).fill_null(0)).astype(np.int64)
     ends = np.cumsum(size)
     at, n = 0, len(size)
     while at < n:

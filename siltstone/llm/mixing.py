@@ -62,6 +62,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], limit: int) -> DataFra
 def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: int = 3, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Returns doc_id, size, source, source_size, target, copies, taken, and the columns named in ``carry``."""
     d = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), *[F.col(c).alias(f"_k_{c}") for c in carry])
+    if not carry:  # three passes over ids and sizes; the texts are read once
+        d = d.checkpoint()
     sizes = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     d = ranked(d.withColumn("_band", size_band(F.col("size"))), ["source"], ["_band"], F.col("doc_id"), ["size", "doc_id"])
     d = d.join(sizes.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "inner")
