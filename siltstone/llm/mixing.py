@@ -54,21 +54,43 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], limit: int) -> DataFra
     by_cap = W.orderBy((F.col("_cap") / F.col("_w")).asc(), F.col("source").asc_nulls_last())
     upto, everything = by_cap.rowsBetween(W.unboundedPreceding, -1), W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     t = t.withColumn("_share", (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(upto), F.lit(0))) / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(upto), F.lit(0.0))))
-    # the level is the share of the first source that stays below its limit
-    level = F.min(F.when(F.col("_cap") / F.col("_w") > F.col("_share"), F.col("_share"))).over(everything)
-    return t.withColumn("target", F.when(level.isNull() | (F.col("_cap") / F.col("_w") <= level), F.col("_cap").cast("double")).otherwise(level * F.col("_w"))).select("source", "source_size", "target")
+    # the share rises while the next source is below it and falls after that
+    level = F.max("_share").over(everything)
+    return t.withColumn("target", F.least(F.col("_cap").cast("double"), level * F.col("_w"))).select("source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: int = 3, seed: int = 20240, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Returns doc_id, size, source, source_size, target, copies, taken, and the columns named in ``carry``."""
+def copies_at(u: Column, rate: Column, rank: Column) -> Column:
+    """Whole numbers that the document's stretch of the sum crosses."""
+    return (F.floor(u + rate * rank) - F.floor(u + rate * (rank - 1))).cast("long")
+
+
+def turned(u: Column, k: int, tries: int) -> Column:
+    """The offset moved on by k of ``tries`` equal steps, within [0, 1)."""
+    moved = u + F.lit(k / tries)
+    return moved - F.floor(moved)
+
+
+def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: int = 3, seed: int = 20240, tries: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Returns doc_id, size, source, source_size, target, copies, taken, and the columns named in ``carry``.
+
+    A source's random offset and its ``tries`` - 1 turns are weighed over all its
+    documents, and the one whose taken words come nearest the target is used:
+    with few documents a single large one would decide otherwise.
+    """
     d = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), *[F.col(c).alias(f"_k_{c}") for c in carry])
-    if not carry:  # three passes over ids and sizes; the texts are read once
+    if not carry:  # several passes over ids and sizes; the texts are read once
         d = d.checkpoint()
     sizes = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
-    d = ranked(d.withColumn("_band", size_band(F.col("size"))), ["source"], ["_band"], F.col("doc_id"), ["size", "doc_id"])
-    d = d.join(sizes.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "inner")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = offset(F.col("source"), seed)
-    copies = (F.floor(u + rate * F.col("rank")) - F.floor(u + rate * (F.col("rank") - 1))).cast("long")
-    d = d.withColumn("copies", copies)
+    sizes = sizes.withColumn("_rate", rate).withColumn("_u", offset(F.col("source"), seed))
+    numbered = ranked(d.withColumn("_band", size_band(F.col("size"))), ["source"], ["_band"], F.col("doc_id"), ["size", "doc_id"])
+    if not carry:
+        numbered = numbered.checkpoint()
+    named = sizes.select(F.col("source").alias("_s"), "source_size", "target", "_rate", "_u")
+    d = numbered.join(named, F.col("source").eqNullSafe(F.col("_s")), "inner")
+    words = [F.sum(copies_at(turned(F.col("_u"), k, tries), F.col("_rate"), F.col("rank")) * F.col("size")).alias(f"_w{k}") for k in range(tries)]
+    weighed = d.groupBy("_s").agg(F.first("target").alias("_t"), F.first("_u").alias("_v"), *words)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_w{k}") - F.col("_t")).alias("e"), F.lit(k).alias("k"), turned(F.col("_v"), k, tries).alias("u")) for k in range(tries)]))
+    chosen = weighed.select(F.col("_s").alias("_c"), best["u"].alias("_best"))
+    d = d.join(chosen, F.col("source").eqNullSafe(F.col("_c")), "inner").withColumn("copies", copies_at(F.col("_best"), F.col("_rate"), F.col("rank")))
     return d.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_k_{c}" for c in carry])

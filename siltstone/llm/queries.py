@@ -78,10 +78,14 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, source_size * 3 AS cap FROM s),
 x AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS share
       FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-y AS (SELECT *, min(CASE WHEN cap / w > share THEN share END) OVER () AS lvl FROM x),
-z AS (SELECT source, source_size, CASE WHEN lvl IS NULL OR cap / w <= lvl THEN cap::DOUBLE ELSE lvl * w END AS target,
+y AS (SELECT *, max(share) OVER () AS lvl FROM x),
+z AS (SELECT source, source_size, least(cap::DOUBLE, lvl * w) AS target,
              ('0x' || substr(md5('20240:' || coalesce('=' || source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM y),
 j AS (SELECT k.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
-      FROM k JOIN z ON k.source IS NOT DISTINCT FROM z.source)
-SELECT doc_id, size, source_size, target, ((floor(u + rate * rk) - floor(u + rate * (rk - 1)))::BIGINT * size) AS taken FROM j""",
+      FROM k JOIN z ON k.source IS NOT DISTINCT FROM z.source),
+c AS (SELECT *, u + k / 16.0::DOUBLE - floor(u + k / 16.0::DOUBLE) AS uk FROM j, range(16) g(k)),
+n AS (SELECT *, (floor(uk + rate * rk) - floor(uk + rate * (rk - 1)))::BIGINT * size AS got FROM c),
+e AS (SELECT source, k, abs(sum(got) - max(target)) AS err FROM n GROUP BY source, k),
+f AS (SELECT source, k FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY err, k) = 1)
+SELECT doc_id, size, source_size, target, got AS taken FROM n JOIN f ON n.k = f.k AND n.source IS NOT DISTINCT FROM f.source""",
 }
