@@ -36,20 +36,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix((np.arange(256, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
-_POWERS: list[np.ndarray] = []
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        _POWERS[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.full(size, base, U)
-            out[0] = 1
-            _POWERS.append(np.multiply.accumulate(out))
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd base modulo 2**64."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(max(n, 1 << 16), base, U)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def buckets(spark: SparkSession, at_least: int = 8) -> int:
@@ -103,12 +100,12 @@ def spans(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None)
     return start, end, np.searchsorted(start, offs)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    p, q = _powers(len(data) + 1)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; ``which`` of two independent ones."""
+    base = _BASES[which]
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_TABLE[data] * p[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * q[start] + (end - start).astype(U))
+    np.cumsum(_TABLE[data] * _powers(base, len(data)), out=sums[1:])
+    return mix((sums[end] - sums[start]) * _powers(pow(base, -1, 1 << 64), len(data) + 1)[start] + (end - start).astype(U))
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secret_scan, simhash, url_filter
+from . import mixing, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
 
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -49,12 +49,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, base), F.sha2(join(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op8_quality": op8_quality,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_secrets": op10_secrets,
 }
 
