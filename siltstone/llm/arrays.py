@@ -9,11 +9,12 @@ planes (all low bytes together), which Spark's block compression shrinks well.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -49,11 +50,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
+def visible(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in (env.get("PYTHONPATH") or "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
+    return spark
+
+
 def buckets(spark: SparkSession, at_least: int = 8) -> int:
     """How many parts an exchange has: the session's shuffle partitions."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """At most four partitions for each core: narrow results in few files."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` bytes of text; a longer text is alone."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
+from . import arrays, fingerprints, mixing, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -15,7 +15,7 @@ MIX_WEIGHTS, MIX_LIMIT, MIX_SEED = (1.0, 2.0, 3.0), 3, 20240
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return arrays.visible(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +57,32 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+#: The labels' categories in the chain's order.
+TOXIC_CHAIN = ["low_quality", "toxic"]
+
+
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, toxic_labels(spark, sf_dir), TOXIC_CHAIN)
+    return toxicity.score(docs, chain).withColumnRenamed("rejected", "toxic")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secrets": op10_secrets,
