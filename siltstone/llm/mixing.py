@@ -16,17 +16,31 @@ an empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import arrays as A
 from .ranking import ranked
 
-WORD = r"[^\x20\x09-\x0D]+"
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(doc_id, size, source) and the carried columns; the size is the number of words."""
+    names = ["doc_id", "size", "source", *[f"_k_{c}" for c in carry]]
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("size"), F.col(source_col).alias("source"), *[F.col(c).alias(f"_k_{c}") for c in carry])
 
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in A.slices(whole, "size"):
+                _, _, first = A.spans(*A.text_bytes(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), *batch.columns[2:]], names)
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    fields = [T.StructField("size", T.LongType()) if f.name == "size" else f for f in d.schema.fields]
+    return d.mapInArrow(fn, T.StructType(fields))
 
 
 def size_band(size: Column) -> Column:
@@ -77,15 +91,15 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     documents, and the one whose taken words come nearest the target is used:
     with few documents a single large one would decide otherwise.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), *[F.col(c).alias(f"_k_{c}") for c in carry])
+    d = sized(docs, id_col, text_col, source_col, carry)
     if not carry:  # several passes over ids and sizes; the texts are read once
-        d = d.checkpoint()
+        d = A.compact(d).checkpoint()
     sizes = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sizes = sizes.withColumn("_rate", rate).withColumn("_u", offset(F.col("source"), seed))
     numbered = ranked(d.withColumn("_band", size_band(F.col("size"))), ["source"], ["_band"], F.col("doc_id"), ["size", "doc_id"])
     if not carry:
-        numbered = numbered.checkpoint()
+        numbered = A.compact(numbered).checkpoint()
     named = sizes.select(F.col("source").alias("_s"), "source_size", "target", "_rate", "_u")
     d = numbered.join(named, F.col("source").eqNullSafe(F.col("_s")), "inner")
     words = [F.sum(copies_at(turned(F.col("_u"), k, tries), F.col("_rate"), F.col("rank")) * F.col("size")).alias(f"_w{k}") for k in range(tries)]
@@ -93,4 +107,4 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_w{k}") - F.col("_t")).alias("e"), F.lit(k).alias("k"), turned(F.col("_v"), k, tries).alias("u")) for k in range(tries)]))
     chosen = weighed.select(F.col("_s").alias("_c"), best["u"].alias("_best"))
     d = d.join(chosen, F.col("source").eqNullSafe(F.col("_c")), "inner").withColumn("copies", copies_at(F.col("_best"), F.col("_rate"), F.col("rank")))
-    return d.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_k_{c}" for c in carry])
+    return A.compact(d).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_k_{c}" for c in carry])

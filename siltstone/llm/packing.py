@@ -130,7 +130,7 @@ def places(filled: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, **how) -> DataFrame:
     """Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = cut(docs, capacity=capacity, **how).checkpoint()
+    pieces = A.compact(cut(docs, capacity=capacity, **how)).checkpoint()
     # at most ``capacity`` rows
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     table = places(fillings(histogram, capacity))
@@ -148,4 +148,4 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, **how) -> DataFrame:
             seq, off = row[:, 2] + k // row[:, 3], row[:, 4] + k % row[:, 3] * length
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(fn, PIECES + ", sequence_id long, offset long")
+    return A.compact(numbered).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(fn, PIECES + ", sequence_id long, offset long")

@@ -147,7 +147,7 @@ def run(
     found = docs.select("doc_id", "text").mapInArrow(one, SCHEMA).groupBy("bucket").applyInArrow(reduced(first), SCHEMA)
     hashed = found.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(meet, SCHEMA)
     repeated = hashed.groupBy("bucket").applyInArrow(reduced(second), SCHEMA)
-    return repeated.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(close, schema)
+    return A.compact(repeated.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(close, schema))
 
 
 def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -96,11 +96,11 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """Returns doc_id, fp and component_id, the smallest doc_id that links reach."""
-    fps = fingerprints(docs, **how).checkpoint()
+    fps = A.compact(fingerprints(docs, **how)).checkpoint()
     # a null id is larger than all others, which min() has as well
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(nodes))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(of, F.col("fp") == F.col("_fp"), "inner").select("doc_id", "fp", "component_id")
+    return A.compact(fps.join(of, F.col("fp") == F.col("_fp"), "inner")).select("doc_id", "fp", "component_id")
