@@ -8,7 +8,10 @@ planes (all low bytes together), which Spark's block compression shrinks well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 2 << 20
 NULL_ID = np.iinfo(np.int64).max
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -27,7 +35,10 @@ U = np.uint64
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
-    x = x.astype(U, copy=True)
+    return _scramble(x.astype(U, copy=True))
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
     x ^= x >> U(30)
     x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
@@ -50,6 +61,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers are kept between tasks."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def visible(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver has it."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -58,14 +75,34 @@ def visible(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: the session's, or one of our own where none is set (local sessions)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def buckets(spark: SparkSession, at_least: int = 8) -> int:
     """How many parts an exchange has: the session's shuffle partitions."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """At most four partitions for each core: narrow results in few files."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """One partition for each core: narrow results in few files, whatever dealt them out before."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -122,6 +159,20 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
     return mix((sums[end] - sums[start]) * _powers(pow(base, -1, 1 << 64), len(data) + 1)[start] + (end - start).astype(U))
 
 
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The same for every ``width`` consecutive bytes, in place."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    base = _BASES[0]
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_TABLE[data] * _powers(base, len(data)), out=sums[1:])
+    out = sums[width:] - sums[:-width]
+    out *= _powers(pow(base, -1, 1 << 64), len(data) + 1)[:n]
+    out += U(width)
+    return _scramble(out)
+
+
 def rows_of(first: np.ndarray) -> np.ndarray:
     """The row of each item, from the rows' first items."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -177,7 +228,7 @@ def blob_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 def text_exchange(docs, n: int, columns: tuple[str, ...] = ("doc_id", "text")):
     """Rows of ``docs`` as compressed Arrow streams in n parts by the first column.
 
-    Returns (bucket, data); ``read_stream`` gives the record batches back.
+    Returns (bucket, data); ``read_streams`` gives the record batches back.
     """
 
     def fn(batches):
@@ -197,6 +248,16 @@ def text_exchange(docs, n: int, columns: tuple[str, ...] = ("doc_id", "text")):
     return docs.select(*columns).mapInArrow(fn, "bucket int, data binary")
 
 
-def read_stream(blob: bytes) -> Iterator[pa.RecordBatch]:
-    with pa.ipc.open_stream(blob) as r:
-        yield from r
+def read_streams(blobs: Iterable[bytes], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the streams, in batches of about ``most`` bytes."""
+    got, size = [], 0
+    for blob in blobs:
+        with pa.ipc.open_stream(blob) as r:
+            for b in r:
+                got.append(b)
+                size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(got).combine_chunks().to_batches()
+            got, size = [], 0
+    if got:
+        yield from pa.Table.from_batches(got).combine_chunks().to_batches()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import compact
+from .arrays import checkpointed, compact
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
 
     seen, e = None, links.select("a", "b").where(F.col("a") != F.col("b")).distinct()
     while True:
-        e = compact(stars(stars(e, True), False)).checkpoint()
+        e = checkpointed(compact(stars(stars(e, True), False)))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -91,20 +91,28 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     documents, and the one whose taken words come nearest the target is used:
     with few documents a single large one would decide otherwise.
     """
-    d = sized(docs, id_col, text_col, source_col, carry)
-    if not carry:  # several passes over ids and sizes; the texts are read once
-        d = A.compact(d).checkpoint()
-    sizes = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
+    # several passes over ids and sizes; the texts are read once for these, and once more if carried
+    narrow = A.checkpointed(A.compact(sized(docs, id_col, text_col, source_col, ()))).withColumn("_band", size_band(F.col("size")))
+    sizes = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    sizes = sizes.withColumn("_rate", rate).withColumn("_u", offset(F.col("source"), seed))
-    numbered = ranked(d.withColumn("_band", size_band(F.col("size"))), ["source"], ["_band"], F.col("doc_id"), ["size", "doc_id"])
-    if not carry:
-        numbered = A.compact(numbered).checkpoint()
-    named = sizes.select(F.col("source").alias("_s"), "source_size", "target", "_rate", "_u")
+    named = sizes.select(F.col("source").alias("_s"), "source_size", "target", rate.alias("_rate"), offset(F.col("source"), seed).alias("_u"))
+    place = lambda df: ranked(df, ["source"], ["_band"], F.col("doc_id"), ["size", "doc_id"], counted=narrow)
+    numbered = A.checkpointed(A.compact(place(narrow)))
     d = numbered.join(named, F.col("source").eqNullSafe(F.col("_s")), "inner")
     words = [F.sum(copies_at(turned(F.col("_u"), k, tries), F.col("_rate"), F.col("rank")) * F.col("size")).alias(f"_w{k}") for k in range(tries)]
     weighed = d.groupBy("_s").agg(F.first("target").alias("_t"), F.first("_u").alias("_v"), *words)
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_w{k}") - F.col("_t")).alias("e"), F.lit(k).alias("k"), turned(F.col("_v"), k, tries).alias("u")) for k in range(tries)]))
     chosen = weighed.select(F.col("_s").alias("_c"), best["u"].alias("_best"))
+    if carry:
+        wide = place(sized(docs, id_col, text_col, source_col, carry).withColumn("_band", size_band(F.col("size"))))
+        d = wide.join(named, F.col("source").eqNullSafe(F.col("_s")), "inner")
     d = d.join(chosen, F.col("source").eqNullSafe(F.col("_c")), "inner").withColumn("copies", copies_at(F.col("_best"), F.col("_rate"), F.col("rank")))
-    return A.compact(d).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_k_{c}" for c in carry])
+    out = d.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_k_{c}" for c in carry])
+    return out if carry else A.compact(out)
+
+
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them."""
+    mixed = mix_sources(docs, carry=tuple(docs.columns), **how)
+    repeated = mixed.where(F.col("copies") > 0).select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_nth"), *[F.col(f"_k_{c}") for c in docs.columns])
+    return repeated.select(*[F.col(f"_k_{c}").alias(c) for c in docs.columns])

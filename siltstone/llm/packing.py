@@ -130,7 +130,7 @@ def places(filled: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 
 def pack(docs: DataFrame, *, capacity: int = CAPACITY, **how) -> DataFrame:
     """Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = A.compact(cut(docs, capacity=capacity, **how)).checkpoint()
+    pieces = A.checkpointed(A.compact(cut(docs, capacity=capacity, **how)))
     # at most ``capacity`` rows
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     table = places(fillings(histogram, capacity))

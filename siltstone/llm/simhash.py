@@ -65,15 +65,16 @@ def text_fingerprints(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.n
     return out
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
+    """Returns doc_id and the fingerprint as a signed long, with ``mark`` also a hash of the text."""
+    marks = [F.xxhash64(text_col).alias("mark")] if mark else []
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in A.slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_fingerprints(batch.column(1), shingle, seed).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_fingerprints(batch.column(1), shingle, seed).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *["mark"] * mark])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(fn, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *marks).mapInArrow(fn, "doc_id long, fp long" + ", mark long" * mark)
 
 
 def segment_counts(fp: Column, half: int) -> Column:
@@ -96,7 +97,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """Returns doc_id, fp and component_id, the smallest doc_id that links reach."""
-    fps = A.compact(fingerprints(docs, **how)).checkpoint()
+    fps = A.checkpointed(A.compact(fingerprints(docs, **how)))
     # a null id is larger than all others, which min() has as well
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(nodes))
@@ -104,3 +105,18 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return A.compact(fps.join(of, F.col("fp") == F.col("_fp"), "inner")).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, one for each component: that of the smallest id.
+
+    Of rows with that id and text in a component, one stays.
+    """
+    own, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)), F.xxhash64(text_col)
+    fps = A.checkpointed(A.compact(fingerprints(docs, id_col=id_col, text_col=text_col, mark=True, **how)))
+    nodes = fps.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(A.NULL_ID)).alias("_i"), F.col("mark").alias("_m"))).alias("low"))
+    roots = components(links(nodes))
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("low", F.coalesce("root", "fp").alias("root"))
+    chosen = named.groupBy("root").agg(F.min("low").alias("low")).select("low._i", "low._m")
+    kept = docs.withColumns({"_own_": own, "_mark_": mark}).join(chosen, (F.col("_own_") == F.col("_i")) & (F.col("_mark_") == F.col("_m")), "left_semi")
+    return kept.dropDuplicates(["_own_", "_mark_"]).drop("_own_", "_mark_")
