@@ -128,20 +128,26 @@ def run(
         for whole in batches:
             for b in A.slices(whole, "text"):
                 yield batch(local(b, n))
+            A.trim()
 
     def reduced(fn):
-        return lambda table: pa.Table.from_batches([batch(fn(table, n))])
+        def whole(table: pa.Table) -> pa.Table:
+            out = pa.Table.from_batches([batch(fn(table, n))])
+            A.trim()
+            return out
+
+        return whole
 
     def meet(places: pa.Table, texts: pa.Table) -> pa.Table:
         rows, known = passed(places, DONE), Places(of_kind(places, OPEN))
-        for blob in texts["data"]:
-            for b in A.read_stream(blob.as_py()):
-                rows += windows(b, known, n)
+        for b in A.read_streams(x.as_py() for x in texts["data"]):
+            rows += windows(b, known, n)
+        A.trim()
         return pa.Table.from_batches([batch(rows)])
 
     def close(places: pa.Table, texts: pa.Table) -> pa.Table:
         known = Places(of_kind(places, DONE))
-        return pa.Table.from_batches([apply(b, known) for blob in texts["data"] for b in A.read_stream(blob.as_py())])
+        return pa.Table.from_batches([apply(b, known) for b in A.read_streams(x.as_py() for x in texts["data"])])
 
     texts = A.text_exchange(docs, n)
     found = docs.select("doc_id", "text").mapInArrow(one, SCHEMA).groupBy("bucket").applyInArrow(reduced(first), SCHEMA)
