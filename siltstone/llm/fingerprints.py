@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrays import buckets, compact
+from .arrays import buckets
 
 K = 5
 PLACE_BITS = 26  # of a word's position; hashes have the rest
@@ -102,9 +102,9 @@ def fingerprint_documents(docs: DataFrame, *, share: int = 4, id_col: str = "doc
     signed = d.withColumn("sig", signature("text"))
     follow = W.partitionBy("bucket").orderBy(*order)
     rows = signed.withColumn("after", F.lead(F.struct("text", "sig")).over(follow)).withColumn("last", F.col("after").isNull())
-    # the first document of each bucket: one row for each
+    # the first document of each bucket: at most as many rows as buckets
     least = d.groupBy(F.col("bucket").alias("b")).agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("least"))
-    heads = d.join(least, (F.col("bucket") == F.col("b")) & (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("least")), "inner")
+    heads = d.join(F.broadcast(least), (F.col("bucket") == F.col("b")) & (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("least")), "inner")
     heads = heads.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).withColumn("sig", signature("text"))
     chain = W.orderBy("bucket")
     whole = chain.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -115,7 +115,7 @@ def fingerprint_documents(docs: DataFrame, *, share: int = 4, id_col: str = "doc
     rows = rows.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - many), F.col("next.text").substr(F.lit(1), many)))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "edited", "sig", F.col("next.sig").alias("next_sig"))
     rows = rows.withColumn("edited_sig", signature("edited"))
-    return compact(rows).select(
+    return rows.coalesce(4 * d.sparkSession.sparkContext.defaultParallelism).select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
