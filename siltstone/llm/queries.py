@@ -38,7 +38,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return arrays.compact(quality.judge(table(spark, sf_dir, "documents")))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [r.kind for r in secret_scan.BASE_RULES]
     join = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(of, base), F.sha2(join(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"))
+    return arrays.compact(found.select("doc_id", *map(of, base), F.sha2(join(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), join(F.col("spans")).alias("spans")))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, toxic_labels(spark, sf_dir), TOXIC_CHAIN)
-    return toxicity.score(docs, chain).withColumnRenamed("rejected", "toxic")
+    return arrays.compact(toxicity.score(docs, chain)).withColumnRenamed("rejected", "toxic")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

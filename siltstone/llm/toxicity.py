@@ -105,7 +105,9 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[s
     if len(x) and categories:
         p, t = held[:, -1], y[:, -1] > 0.5
         score = lambda c: 2 * ((p >= c) & t).sum() / max(1, (p >= c).sum() + t.sum())
-        chain.limit = max((round(c, 2) for c in np.arange(0.1, 0.95, 0.05)), key=lambda c: (score(c), -abs(c - 0.5)))
+        # most of what is rejected must be rejected rightly
+        fit = [c for c in (round(v, 2) for v in np.arange(0.1, 0.95, 0.05)) if 2 * ((p >= c) & t).sum() > (p >= c).sum()]
+        chain.limit = max(fit, key=lambda c: (score(c), -abs(c - 0.5)), default=0.5)
     return chain, held
 
 
@@ -133,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_rows
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], lists], [*names, "tokens"])
 
-    marked = A.compact(texts.mapInArrow(tokens, ", ".join(["doc_id long", *[f"y{j} int" for j in range(len(y))], "tokens array<long>"]))).checkpoint()
+    marked = A.checkpointed(A.compact(texts.mapInArrow(tokens, ", ".join(["doc_id long", *[f"y{j} int" for j in range(len(y))], "tokens array<long>"]))))
     sums = marked.agg(F.count(F.lit(1)), *[F.sum(f"y{j}") for j in range(len(y))]).first()
     total = max(1, sums[0])
     df, z = F.col("df"), []
@@ -179,3 +181,16 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", keep: tuple[
 
     kinds = dict(want.dtypes)
     return want.mapInArrow(fn, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], *[f"`p_{c}` double" for c in chain.categories], "rejected boolean"]))
+
+
+def reject(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the chain's last category does not reject, unchanged."""
+    at = docs.columns.index(text_col)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in A.slices(whole, text_col):
+                p = chain.probabilities(features(chain, b.column(at)))
+                yield b.filter(pa.array(p[:, -1] < chain.limit))
+
+    return docs.mapInArrow(fn, docs.schema)
