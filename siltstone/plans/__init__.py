@@ -1 +1,39 @@
-"""Part of siltstone."""
+"""Every operator applied to the driver's tables, with DuckDB SQL for its result."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers fn(tables) under its name, with the SQL that gives the same rows."""
+
+    def register(fn: Callable[[Tables], DataFrame]):
+        key = name or fn.__name__
+        QUERIES[key] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[key] = sql
+        return fn
+
+    return register
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from siltstone.plans import aggregates, lists  # noqa: F401
