@@ -96,7 +96,7 @@ def leading_name(text: Column) -> Column:
 
 def clamp(text: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut at a word, with an ellipsis."""
-    cut = F.regexp_replace(F.substring(text, 1, limit - 3), r"\s+\S*$", "")
+    cut = F.regexp_replace(F.substring(text, 1, limit - 3), r"\s+\S*\z", "")
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit("...")))
 
 

@@ -122,7 +122,7 @@ def directory(df: DataFrame, keys: list[str], payload: str = "payload") -> DataF
     rows = df.select(*keys, F.explode(F.flatten(F.transform(F.from_json(payload, DIRECTORY)["results"], lambda r: r["hits"]))).alias("h"))
     none = F.array().cast("array<string>")
     sectors = F.array_distinct(F.filter(F.concat(F.coalesce("h.industries", none), F.coalesce("h.tags", none), F.array("h.subindustry", batch_label(F.col("h.batch")))), lambda s: s.isNotNull() & (s != "")))
-    places = F.filter(F.transform(F.split(F.coalesce("h.all_locations", F.lit("")), r"\s*;\s*"), lambda p: F.transform(F.slice(F.split(p, r"\s*,\s*"), 1, 3), F.trim)), lambda p: F.size(p) >= 2)
+    places = F.filter(F.transform(F.split(F.coalesce("h.all_locations", F.lit("")), r"\s*;\s*"), lambda p: F.transform(F.slice(F.split(p, r"\s*,\s*"), 1, 3), lambda x: F.trim(x))), lambda p: F.size(p) >= 2)
     return rows.select(
         *keys, X.collapse(F.col("h.name")).alias("name"), F.coalesce("h.slug", "h.objectID").alias("external_id"), X.normalize_domain(F.col("h.website")).alias("domain"), F.col("h.one_liner").alias("one_liner"),
         N.safe_int(F.col("h.team_size")).cast("int").alias("employee_est"), sectors.alias("sectors"), places.alias("locations"), F.lower("h.status").alias("status"), F.lower("h.stage").alias("stage"),
@@ -143,7 +143,7 @@ def threads(items: DataFrame, newest: int, kids: int, payload: str = "payload")
 
 def header_fields(line: Column) -> dict[str, Column]:
     """A pipe-separated header: the name, its URL, its terms of work, and the rest."""
-    parts = F.filter(F.transform(F.split(line, r"\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(line, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     rest = F.slice(parts, 2, 1000)
     url, work = (lambda p: p.rlike(r"https?://")), (lambda p: p.rlike(r"(?i)(full|part)[- ]?time|contract|intern|remote|onsite|hybrid"))
     return {"name": F.get(parts, 0), "url": F.get(F.filter(rest, url), 0), "commitment": F.get(F.filter(rest, lambda p: ~url(p) & work(p)), 0), "others": F.filter(rest, lambda p: ~url(p) & ~work(p))}
