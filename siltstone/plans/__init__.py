@@ -36,4 +36,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from siltstone.plans import aggregates, lists, texts, writes  # noqa: F401
+    from siltstone.plans import aggregates, lists, payloads, texts, writes  # noqa: F401
