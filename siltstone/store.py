@@ -11,12 +11,13 @@ from pyspark.sql.types import StructType
 class Table:
     """Readers see the snapshot that the pointer names; a write becomes visible when the pointer is replaced."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def _pointer(self):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def current(self) -> str | None:
