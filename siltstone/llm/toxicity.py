@@ -11,7 +11,7 @@ then judged whole, and nothing is shuffled for it.
 
 Defined results: a null text has no words; a label row with a null is not used,
 of several for one document the highest counts; without a usable label of both
-values a category's probability is the share of its positives (0 without any);
+values a category's probability is the share of its positives (about 0 without any);
 equal texts get equal probabilities; an empty table gives an empty result; other
 columns are passed over.
 """
