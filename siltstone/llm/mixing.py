@@ -28,6 +28,10 @@ from pyspark.sql import types as T
 from . import arrays as A
 from .ranking import ranked
 
+#: Sources up to which their table is broadcast.
+MOST_SENT = 50_000
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...]) -> DataFrame:
     """(doc_id, size, source) and the carried columns; the size is the number of words."""
     names = ["doc_id", "size", "source", *[f"_k_{c}" for c in carry]]
@@ -95,18 +99,21 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     narrow = A.checkpointed(A.compact(sized(docs, id_col, text_col, source_col, ()))).withColumn("_band", size_band(F.col("size")))
     sizes = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    named = sizes.select(F.col("source").alias("_s"), "source_size", "target", rate.alias("_rate"), offset(F.col("source"), seed).alias("_u"))
+    named = A.checkpointed(A.compact(sizes.select(F.col("source").alias("_s"), "source_size", "target", rate.alias("_rate"), offset(F.col("source"), seed).alias("_u"))))
+    # one row for each source: sent to all tasks if there are not too many, else joined by shuffles
+    small = named.count() <= MOST_SENT
+    sent = lambda df: F.broadcast(df) if small else df
     place = lambda df: ranked(df, ["source"], ["_band"], F.col("doc_id"), ["size", "doc_id"], counted=narrow)
     numbered = A.checkpointed(A.compact(place(narrow)))
-    d = numbered.join(named, F.col("source").eqNullSafe(F.col("_s")), "inner")
+    d = numbered.join(sent(named), F.col("source").eqNullSafe(F.col("_s")), "inner")
     words = [F.sum(copies_at(turned(F.col("_u"), k, tries), F.col("_rate"), F.col("rank")) * F.col("size")).alias(f"_w{k}") for k in range(tries)]
     weighed = d.groupBy("_s").agg(F.first("target").alias("_t"), F.first("_u").alias("_v"), *words)
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_w{k}") - F.col("_t")).alias("e"), F.lit(k).alias("k"), turned(F.col("_v"), k, tries).alias("u")) for k in range(tries)]))
     chosen = weighed.select(F.col("_s").alias("_c"), best["u"].alias("_best"))
     if carry:
         wide = place(sized(docs, id_col, text_col, source_col, carry).withColumn("_band", size_band(F.col("size"))))
-        d = wide.join(named, F.col("source").eqNullSafe(F.col("_s")), "inner")
-    d = d.join(chosen, F.col("source").eqNullSafe(F.col("_c")), "inner").withColumn("copies", copies_at(F.col("_best"), F.col("_rate"), F.col("rank")))
+        d = wide.join(sent(named), F.col("source").eqNullSafe(F.col("_s")), "inner")
+    d = d.join(sent(chosen), F.col("source").eqNullSafe(F.col("_c")), "inner").withColumn("copies", copies_at(F.col("_best"), F.col("_rate"), F.col("rank")))
     out = d.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_k_{c}" for c in carry])
     return out if carry else A.compact(out)
 
