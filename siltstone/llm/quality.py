@@ -154,8 +154,12 @@ def references(docs: DataFrame) -> DataFrame:
     return whole.select("lang", F.array(*map(value, range(c))).alias("classes"), F.array(*map(value, range(c, n))).alias("words"))
 
 
-def judge(docs: DataFrame, *, class_limit: float = 0.25, word_limit: float = 0.5, least_words: int = 100, least_reference: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Returns doc_id, the counts, base_failed, class_distance, word_distance, kept."""
+def judge(docs: DataFrame, *, class_limit: float = 0.25, word_limit: float = 0.15, word_slack: float = 2.0, least_words: int = 100, least_reference: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Returns doc_id, the counts, base_failed, class_distance, word_distance, kept.
+
+    The limit of the word distance is ``word_limit`` plus ``word_slack`` over the
+    root of the number of words: that far a text of few words strays by chance.
+    """
     d = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -174,7 +178,7 @@ def judge(docs: DataFrame, *, class_limit: float = 0.25, word_limit: float = 0.5
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             d1, d2 = distance(wide(cols["classes"], c), wide(cols["rc"], c)), distance(wide(cols["words"], w), wide(cols["rw"], w))
             failed, n_words = np.asarray(cols["base_failed"].fill_null(True)), np.asarray(cols["n_words"])
-            far = ((d1 > class_limit) | (d2 > word_limit)) & (n_words >= least_words) & (wide(cols["rw"], w).sum(1) >= least_reference)
+            far = ((d1 > class_limit) | (d2 > word_limit + word_slack / np.sqrt(np.maximum(n_words, 1)))) & (n_words >= least_words) & (wide(cols["rw"], w).sum(1) >= least_reference)
             yield pa.RecordBatch.from_arrays([cols["doc_id"], *[cols[x] for x in counts], cols["base_failed"], pa.array(d1), pa.array(d2), pa.array(~failed & ~far)], ["doc_id", *counts, "base_failed", "class_distance", "word_distance", "kept"])
 
     types = "".join(f"{c} long, " for c in counts)
