@@ -65,34 +65,45 @@ def text_fingerprints(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.n
     return out
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
-    """Returns doc_id and the fingerprint as a signed long, with ``mark`` also a hash of the text."""
-    marks = [F.xxhash64(text_col).alias("mark")] if mark else []
+def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Returns doc_id and the fingerprint as a signed long."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in A.slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_fingerprints(batch.column(1), shingle, seed).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *["mark"] * mark])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_fingerprints(batch.column(1), shingle, seed).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *marks).mapInArrow(fn, "doc_id long, fp long" + ", mark long" * mark)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(fn, "doc_id long, fp long")
 
 
-def segment_counts(fp: Column, half: int) -> Column:
-    """The bit counts of the 16 two-bit segments of a half, each in its own two bits."""
-    h = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-    return h - F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(PAIRS))
+def segment_counts(fp: Column, part: int, parts: int, width: int) -> Column:
+    """The bit counts of the segments of one of equal parts, each in its segment's own bits."""
+    size = 64 // parts
+    h = F.shiftrightunsigned(fp, size * part).bitwiseAND(F.lit((1 << size) - 1))
+    return h if width == 1 else h - F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(PAIRS))
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different values in ``fp`` that differ in at most 3 bits."""
-    half = F.array(*[F.struct(F.lit(t).alias("t"), segment_counts(F.col("fp"), t).alias("cell")) for t in (0, 1)])
-    stand = nodes.select("fp", F.inline(half))
-    step = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(F.call_function("shiftright", F.col("cell"), i * 2) % 4 < 2, F.col("cell") + F.call_function("shiftleft", F.lit(1).cast("long"), i * 2)))
-    look = stand.select("t", F.col("fp").alias("a"), F.explode(F.concat(F.array("cell"), F.filter(step, lambda c: c.isNotNull()))).alias("near"), F.col("cell").alias("own"))
-    pairs = look.withColumnRenamed("t", "u").join(
-        stand, (F.col("u") == F.col("t")) & (F.col("near") == F.col("cell")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= 3) & ((F.col("near") != F.col("own")) | (F.col("a") < F.col("fp"))), "inner"
-    )
-    return pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
+def links(nodes: DataFrame, most: int = 3, parts: int = 2, width: int = 2, carry: tuple[str, ...] = (), fits=None) -> DataFrame:
+    """Pairs (a, b), a < b, of different values in ``fp`` that differ in at most ``most`` bits.
+
+    ``most`` is below twice the number of parts, so one part's vector of segment
+    counts (segments of 1 or 2 bits) is at most 1 away.  ``fits`` is a further
+    condition on the columns in ``carry``, given as (left, right) by name.
+    """
+    if most >= 2 * parts or width not in (1, 2) or (width == 2 and parts != 2):
+        raise ValueError("no part has to be within one step")
+    at = F.array(*[F.struct(F.lit(t).alias("t"), segment_counts(F.col("fp"), t, parts, width).alias("cell")) for t in range(parts)])
+    stand = nodes.select("fp", *carry, F.inline(at))
+    top, count = (1 << width) - 1, 64 // parts // width
+    full = 2 if width == 2 else 1
+    # up one step: only in segments whose count can grow
+    step = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.when(F.call_function("shiftright", F.col("cell"), i * width).bitwiseAND(F.lit(top)) < full, F.col("cell") + F.call_function("shiftleft", F.lit(1).cast("long"), i * width)))
+    near = F.explode(F.concat(F.array("cell"), F.filter(step, lambda c: c.isNotNull()))).alias("near")
+    look = stand.select(F.col("t").alias("u"), F.col("fp").alias("a"), *[F.col(c).alias(f"a_{c}") for c in carry], near, F.col("cell").alias("own"))
+    cond = (F.col("u") == F.col("t")) & (F.col("near") == F.col("cell")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= most) & ((F.col("near") != F.col("own")) | (F.col("a") < F.col("fp")))
+    if fits is not None:
+        cond = cond & fits({c: F.col(f"a_{c}") for c in carry}, {c: F.col(c) for c in carry})
+    return look.join(stand, cond, "inner").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -107,16 +118,87 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return A.compact(fps.join(of, F.col("fp") == F.col("_fp"), "inner")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, one for each component: that of the smallest id.
+#: Copies as a stage removes them: shingles of so many words, so much in common.
+SHINGLE, ALIKE = 5, 0.8
+#: Bits in which near copies are looked for, and in which their fingerprints of longer shingles may differ.
+REACH, WIDE_REACH = 7, 20
+
+
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different runs of k lower-cased words of each text (fewer words: all), as values and offsets."""
+    data, offs = A.text_bytes(texts)
+    start, end, first = A.spans(data, offs)
+    h, n = A.span_hashes(_LOWER[data], start, end), np.diff(first)
+    many = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    row = np.repeat(np.arange(len(n)), many)
+    s = first[:-1][row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
+    out = np.zeros(len(row), A.U)
+    for j in range(k):
+        inside = s + j < first[1:][row]
+        out[inside] += A.mix(h[(s + j)[inside]] + A.U(j + 1))
+    order = np.lexsort((out, row))
+    row, out = row[order], out[order]
+    new = A.group_starts(row, out)
+    row, out = row[new], out[new]
+    return out, np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32)
+
+
+def _described(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(doc_id, mark, fp, wide, n): both fingerprints and the number of shingles."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in A.slices(whole, "text"):
+                _, offs = shingle_sets(b.column(1))
+                prints = [pa.array(text_fingerprints(b.column(1), k).view(np.int64)) for k in (3, SHINGLE)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *prints, pa.array(np.diff(offs).astype(np.int64))], ["doc_id", "mark", "fp", "wide", "n"])
+
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    return d.mapInArrow(fn, "doc_id long, mark long, fp long, wide long, n long")
+
 
-    Of rows with that id and text in a component, one stays.
+def _sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, items) of rows (doc_id, mark, text)."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in A.slices(whole, "text"):
+                items, offs = shingle_sets(b.column(2))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offs), pa.array(items.view(np.int64)))], ["doc_id", "mark", "items"])
+
+    return docs.mapInArrow(fn, "doc_id long, mark long, items array<long>")
+
+
+def _merged(groups: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(root, low): the least ``low`` of the components that ``found`` makes of ``groups`` (key, low)."""
+    roots = components(found)
+    return groups.join(roots, F.col(key) == F.col("node"), "left").groupBy(F.coalesce("root", key).alias("root")).agg(F.min("low").alias("low"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one for each group of near copies: that of the smallest id.
+
+    Fingerprints within 3 bits are one group.  Groups then stand by their first
+    documents, and those within 7 bits that have at least 0.8 of their five-word
+    shingles in common are merged; shingles are compared whole.  So no two of the
+    rows that stay are near copies in either sense, and a large group of near
+    copies is compared by few of its members.  Of rows with equal id and text in
+    a group, one stays.
     """
-    own, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)), F.xxhash64(text_col)
-    fps = A.checkpointed(A.compact(fingerprints(docs, id_col=id_col, text_col=text_col, mark=True, **how)))
-    nodes = fps.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(A.NULL_ID)).alias("_i"), F.col("mark").alias("_m"))).alias("low"))
-    roots = components(links(nodes))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("low", F.coalesce("root", "fp").alias("root"))
-    chosen = named.groupBy("root").agg(F.min("low").alias("low")).select("low._i", "low._m")
-    kept = docs.withColumns({"_own_": own, "_mark_": mark}).join(chosen, (F.col("_own_") == F.col("_i")) & (F.col("_mark_") == F.col("_m")), "left_semi")
+    fps = A.checkpointed(A.compact(_described(docs, text_col, id_col)))
+    nodes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "mark", "fp", "wide", "n")).alias("low"))
+    firsts = A.checkpointed(A.compact(_merged(nodes, links(nodes), "fp").select("low.*")))
+    fits = lambda a, b: (F.least(a["n"], b["n"]) >= ALIKE * F.greatest(a["n"], b["n"])) & (F.bit_count(a["wide"].bitwiseXOR(b["wide"])) <= WIDE_REACH)
+    pairs = A.checkpointed(A.compact(links(firsts, REACH, 4, 1, ("wide", "n"), fits).distinct()))
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    asked = firsts.join(asked, "fp", "left_semi").select("fp", "doc_id", "mark")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    sets = asked.join(_sets(own.join(asked, ["doc_id", "mark"], "left_semi")).dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("fp", "items")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = both.where(shared >= ALIKE * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    groups = firsts.select("fp", F.struct("doc_id", "mark").alias("low"))
+    chosen = _merged(groups, alike, "fp").select(F.col("low.doc_id").alias("_i"), F.col("low.mark").alias("_m"))
+    kept = docs.withColumns({"_own_": F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)), "_mark_": F.xxhash64(text_col)})
+    kept = kept.join(chosen, (F.col("_own_") == F.col("_i")) & (F.col("_mark_") == F.col("_m")), "left_semi")
     return kept.dropDuplicates(["_own_", "_mark_"]).drop("_own_", "_mark_")
