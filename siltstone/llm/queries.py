@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+
+def _secrets_sql() -> str:
+    """Each rule's matches are put between two marks; their places follow from the lengths of the parts."""
+    rules, parts = secret_scan.BASE_RULES + secret_scan.MORE_RULES, []
+    for k, r in enumerate(rules):
+        pattern = r.pattern
+        if r.ignore_case:
+            names, rest = r.pattern.split(")", 1)
+            pattern = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in names) + ")" + rest
+        pattern = pattern.replace("'", "''")
+        size = f"length(regexp_extract(hit, '{pattern}', {r.group}))" if r.group else "length(hit)"
+        parts.append(
+            f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, a, a + length(hit) AS b FROM (SELECT doc_id, n, split_part(piece, chr(57345), 1) AS hit, sum(CASE WHEN n = 1 THEN length(piece) ELSE length(piece) - 1 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS a "
+            f"FROM (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '{pattern}', chr(57344) || '\\0' || chr(57345), 'g'), chr(57344)) AS p FROM documents WHERE regexp_matches(text, '{pattern}')))) WHERE n > 1 AND {size} >= {r.least}"
+        )
+    base = ", ".join(f"count(s.k) FILTER (s.k = {k}) AS n_{r.kind}" for k, r in enumerate(secret_scan.BASE_RULES))
+    line = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k)"
+    return f"WITH s AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {base}, sha256(coalesce({line} FILTER (s.k < {len(secret_scan.BASE_RULES)}), '')) AS base_sha256, coalesce({line} FILTER (s.k IS NOT NULL), '') AS spans FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": f"""
 WITH r(rh, rp, v) AS (VALUES {_RULES}),
@@ -99,6 +120,19 @@ q AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{url
 m AS (SELECT page_id, max(struct_pack(a := length(rh || rp), b := length(rh), rule := rh || rp, verdict := v)) AS best
       FROM q JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
 SELECT q.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM q LEFT JOIN m ON q.page_id = m.page_id""",
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+h AS (SELECT doc_id, list_transform(range(0, length(x) // 2 - 199), lambda i: md5(substr(x, 2 * i + 1, 400))) AS h FROM d WHERE length(x) >= 400),
+r AS (SELECT doc_id, unnest(h) AS k, unnest(range(0, len(h))) AS i FROM h),
+t AS (SELECT k FROM r GROUP BY k HAVING count(*) > 1),
+f AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM r JOIN t ON r.k = t.k),
+n AS (SELECT doc_id, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM f),
+m AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM n GROUP BY doc_id, span),
+p AS (SELECT m.doc_id, a, b, substr(x, 2 * lag(b, 1, 0) OVER (PARTITION BY m.doc_id ORDER BY a) + 1, 2 * (a - lag(b, 1, 0) OVER (PARTITION BY m.doc_id ORDER BY a))) AS piece FROM m JOIN d ON m.doc_id = d.doc_id),
+g AS (SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS spans, max(b) AS last, string_agg(piece, '' ORDER BY a) AS kept FROM p GROUP BY doc_id)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
     "op5_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 b AS (SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + (size >> (length(bin(size)) - 4)) % 8 END AS band,
@@ -118,4 +152,15 @@ n AS (SELECT *, (floor(uk + rate * rk) - floor(uk + rate * (rk - 1)))::BIGINT *
 e AS (SELECT source, k, abs(sum(got) - max(target)) AS err FROM n GROUP BY source, k),
 f AS (SELECT source, k FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY err, k) = 1)
 SELECT doc_id, size, source_size, target, got AS taken FROM n JOIN f ON n.k = f.k AND n.source IS NOT DISTINCT FROM f.source""",
+    "op9_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+h AS (SELECT doc_id, list_transform(range(1, len(ws) - 11), lambda i: md5(array_to_string(ws[i:i + 12], ' '))) AS h FROM w WHERE len(ws) >= 13),
+r AS (SELECT doc_id, unnest(h) AS k, unnest(range(1, len(h) + 1)) AS i FROM h),
+f AS (SELECT k, min(doc_id) AS first FROM r GROUP BY k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM r JOIN f ON r.k = f.k WHERE first < doc_id),
+l AS (SELECT doc_id, list(p) AS ps FROM g GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+       sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN l ON w.doc_id = l.doc_id""",
+    "op10_secrets": _secrets_sql(),
 }
