@@ -182,3 +182,26 @@ def filing_order(t: Tables) -> DataFrame:
     w = W.partitionBy("o_custkey").orderBy(*feeds.filing_order())
     rows = rows.withColumn("n", F.row_number().over(w))
     return rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "accession"))), lambda s: s["accession"].cast("string")), ",").alias("filings"))
+
+
+@query("SELECT page_id, 'Ada Lovelace' AS full_name, 'Chief of Engines' AS title, 'https://www.linkedin.com/in/ada' || page_id AS url FROM pages WHERE page_id % 2 = 0")
+def people_markup(t: Tables) -> DataFrame:
+    """Cards put on every other page; the others' cards hold two headings and name nobody."""
+    from siltstone.sources.people import people
+
+    link = F.concat(F.lit('<a href="https://www.linkedin.com/in/ada'), F.col("page_id").cast("string"), F.lit('">in</a>'))
+    card = F.concat(F.lit("<div><h3>Ada Lovelace</h3><p>Chief of Engines</p>"), F.when(F.col("page_id") % 2 == 0, "").otherwise("<h3>Grace Hopper</h3>"), link, F.lit("</div>"))
+    return t.pages.select("page_id", F.inline(people(F.concat(F.lit("<main>"), card, F.lit("</main>")))))
+
+
+@query("SELECT page_id, NOT (page_id % 3 = 0 OR page_id % 3 = 1 AND page_id % 2 = 0) AS allowed FROM pages")
+def robots_rules(t: Tables) -> DataFrame:
+    """The longest rule decides, allow wins ties, a group for the product replaces the one for all."""
+    from siltstone.sources import robots
+
+    k = F.col("page_id")
+    text = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /b\n\nUser-agent: Sampler # us\nDisallow: /a/\nDisallow: /c*.html$\nAllow: /c/open\nAllow: /b\n"
+    path = F.when(k % 3 == 0, "/a/x").when((k % 3 == 1) & (k % 2 == 0), "/c/x.html").when(k % 3 == 1, "/c/open.htm").otherwise("/b/y")
+    paths = t.pages.select("page_id", F.lit("h").alias("host"), path.alias("path"))
+    files = t.spark.createDataFrame([("h", text)], "host string, text string")
+    return robots.allowed(paths, robots.rules(files, "sampler")).select("page_id", "allowed")

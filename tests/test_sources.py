@@ -66,3 +66,23 @@ def test_stream_takes_each_item_once(spark, tmp_path):
     spark.sql("SELECT 2L AS id, TIMESTAMP '2026-01-02 05:00:00' AS ts UNION ALL SELECT 3L, TIMESTAMP '2026-01-02 06:00:00'").write.mode("append").parquet(src)
     drain(spark, src, schema, ck, write, ["id"], "ts")
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_seeds(spark, tmp_path):
+    from siltstone.sources import seeds
+
+    f = tmp_path / "s.yaml"
+    f.write_text("deep_tech:\n  companies: [Acme Labs, {name: Beta, website: 'https://www.beta.io', sector: Chips}]\nbio:\n  label: Life\n  companies: [Gene]\n")
+    got = sorted((r.name, r.domain, r.sector, r.external_id) for r in seeds.load_seeds(spark, str(f)).collect())
+    assert got == [("Acme Labs", None, "Deep Tech", "acme-labs"), ("Beta", "beta.io", "Chips", "beta"), ("Gene", None, "Life", "gene")]
+    codes = spark.createDataFrame([(404,), (200,), (None,)], "c int").select(seeds.verdict(F.col("c"))).collect()
+    assert [r[0] for r in codes] == ["dead", None, "dead"]
+
+
+def test_people():
+    from siltstone.sources.people import people_of
+
+    page = """<div class=team><div><h3>Ada Lovelace</h3><span>CEO &amp; Founder</span><p><a href="https://linkedin.com/in/ada">in</a></p></div>
+    <div><h3>Grace Hopper</h3><a href="https://linkedin.com/in/g1">in</a><a href="https://linkedin.com/in/g2">in</a></div><a href="https://linkedin.com/in/nobody">x</a></div>"""
+    assert people_of(page) == [("Ada Lovelace", "CEO & Founder", "https://linkedin.com/in/ada")]
+    assert people_of("") == people_of(None) == []
