@@ -96,24 +96,52 @@ def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
     return used
 
 
-def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(how many windows, what each holds) until every length is used up."""
-    left, out = {n: c for n, c in histogram.items() if c > 0}, []
-    while left:
-        top = max(left)
-        rest = dict(left)
-        rest[top] -= 1
-        used = best_fill(rest, capacity - top)
-        used[top] = used.get(top, 0) + 1
-        times = min(left[n] // c for n, c in used.items())
-        out.append((times, used))
-        for n, c in used.items():
-            left[n] -= times * c
-            if not left[n]:
-                del left[n]
+def padding(filled: list[tuple[int, dict[int, int]]], capacity: int) -> int:
+    """Tokens that pad the windows; one of a power of two is not padded."""
+    out = 0
+    for times, used in filled:
+        total = sum(n * c for n, c in used.items())
+        out += times * (capacity - total) if total & (total - 1) else 0
     return out
 
 
+def beside(top: int, rest: dict[int, int], capacity: int, powers: bool) -> dict[int, int]:
+    """What is put beside ``top``: as close to capacity as can be; with ``powers``, where
+    that leaves room, a filling of exactly a smaller power of two if there is one."""
+    used = best_fill(rest, capacity - top)
+    total = top + sum(n * c for n, c in used.items())
+    if powers and total < capacity and total & (total - 1):
+        power = 1 << (capacity - 1).bit_length() - 1
+        while power >= top:
+            exact = best_fill(rest, power - top)
+            if top + sum(n * c for n, c in exact.items()) == power:
+                return exact
+            power //= 2
+    return used
+
+
+def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """(how many windows, what each holds) until every length is used up: with or
+    without smaller powers of two, whichever pads less."""
+    ways = []
+    for powers in (False, True):
+        left, out = {n: c for n, c in histogram.items() if c > 0}, []
+        while left:
+            top = max(left)
+            rest = dict(left)
+            rest[top] -= 1
+            used = beside(top, rest, capacity, powers)
+            used[top] = used.get(top, 0) + 1
+            times = min(left[n] // c for n, c in used.items())
+            out.append((times, used))
+            for n, c in used.items():
+                left[n] -= times * c
+                if not left[n]:
+                    del left[n]
+        ways.append(out)
+    return min(ways, key=lambda w: padding(w, capacity))
+
+
 def places(filled: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     """Rows (length, first position, first window, how many in a window, offset), sorted."""
     rows, seen, window = [], {}, 0
