@@ -117,3 +117,14 @@ def board_token(html: Column) -> Column:
         token = F.get(F.filter(F.regexp_extract_all(html, F.lit(pattern), 1), lambda t: ~F.lower(t).isin(*RESERVED)), 0)
         out.append(F.when(token.isNotNull(), F.struct(F.lit(provider).alias("provider"), token.alias("token"))))
     return F.coalesce(*out)
+
+
+def records(targets: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """One record for each target: its jobs nested, ``jobs_complete`` only if a board was read.
+
+    ``targets`` has the keys, name and read (whether its payload was parsed);
+    such records only enrich what is stored.
+    """
+    nested = jobs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", *FIELDS))), lambda j: F.struct(*[j[f].alias(f) for f in FIELDS])).alias("jobs"))
+    out = targets.join(nested, keys, "left")
+    return out.select(*keys, "name", F.coalesce("jobs", F.array()).alias("jobs"), F.coalesce("read", F.lit(False)).alias("jobs_complete"), F.lit(True).alias("enrich_only"))

@@ -148,3 +148,32 @@ def test_snapshots(spark, tmp_path):
     before = t.read()
     t.write(before.unionByName(spark.createDataFrame([(1, 3, 0.8, "name", None)], MERGE_CANDIDATES)))
     assert t.read().count() == 2 and before.count() == 1
+
+
+def test_filters_from_a_form():
+    f = B.filters_of({"q": [" x\0 "], "city": ["Oslo", " Oslo ", ""], "amount_min": ["5"], "flexible": ["on"], "stage": ["seed"]}, {"stage": ("seed",)})
+    assert f == B.Filters(q="x", cities=("Oslo",), amount_min=5, flexible=True, stages=("seed",))
+    for bad in ({"stage": ["x"]}, {"amount_max": ["many"]}, {"round_months": ["0"]}):
+        with pytest.raises(ValueError):
+            B.filters_of(bad, {"stage": ("seed",)})
+
+
+def test_run_log(spark):
+    from siltstone.operators import runs
+
+    t = dt.datetime(2026, 1, 1)
+    log = runs.started(spark, 1, "lever", t)
+    assert log.first().status == "error" and runs.anchor(log, "lever").first().anchor is None
+    done = runs.completed(log, 1, t, 5, 4, [], ["odd  item"])
+    r = done.first()
+    assert (r.connector, r.status, r.fetched, r.error_text, r.started_at) == ("lever", "partial", 5, "odd item", t)
+    assert runs.anchor(done, "lever").first().anchor == t
+    assert runs.join_errors([]) is None and runs.join_errors(["a" * 10] * 5, 30) == "a" * 10 + "\n... (+4 more)"
+
+
+def test_cron_period():
+    from siltstone.operators.runs import period
+
+    assert [period(c) for c in ("0 6 * * *", "*/15 * * * *", "0 6 * * 1", "0 0 1 * *", None)] == [dt.timedelta(days=1), dt.timedelta(minutes=15), dt.timedelta(days=7), dt.timedelta(days=31), None]
+    with pytest.raises(ValueError):
+        period("61 * * * *")

@@ -86,3 +86,10 @@ def test_people():
     <div><h3>Grace Hopper</h3><a href="https://linkedin.com/in/g1">in</a><a href="https://linkedin.com/in/g2">in</a></div><a href="https://linkedin.com/in/nobody">x</a></div>"""
     assert people_of(page) == [("Ada Lovelace", "CEO & Founder", "https://linkedin.com/in/ada")]
     assert people_of("") == people_of(None) == []
+
+
+def test_board_records(spark):
+    jobs = boards.greenhouse(payload(spark, json.dumps({"jobs": [{"id": 2, "title": "B"}, {"id": 1, "title": "A"}]})), ["k"])
+    targets = spark.createDataFrame([(0, "Acme", True), (1, "Beta", None)], "k long, name string, read boolean")
+    got = boards.records(targets, jobs, ["k"]).orderBy("k").collect()
+    assert [([j.external_id for j in r.jobs], r.jobs_complete, r.enrich_only) for r in got] == [(["2", "1"], True, True), ([], False, True)]
