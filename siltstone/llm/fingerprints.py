@@ -97,7 +97,8 @@ def fingerprint_documents(docs: DataFrame, *, share: int = 4, id_col: str = "doc
     fingerprint, edited_fingerprint, near_edited, near_next.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("bucket", id_buckets(d, buckets(d.sparkSession)))
+    # several for each partition: hashed buckets then fill partitions alike
+    d = d.withColumn("bucket", id_buckets(d, 4 * buckets(d.sparkSession)))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     signed = d.withColumn("sig", signature("text"))
     follow = W.partitionBy("bucket").orderBy(*order)
