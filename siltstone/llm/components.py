@@ -1,35 +1,67 @@
-"""Connected components of a link table by alternating large and small stars."""
+"""Connected components of a link table: forests within partitions, then stars across them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import checkpointed, compact
 
 
+def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a partition's links (a, b) linked to the smallest it reaches there."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    pairs = [(n, find(n)) for n in list(parent)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def stars(e: DataFrame, large: bool) -> DataFrame:
+    """Links of nodes to the smallest node near them: of larger neighbours (large) or of smaller ones."""
+    ways = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    low = ways.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    out = ways.join(low, F.col("a") == F.col("n"), "inner")
+    if large:
+        out = out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
+    return out.where(F.col("a") != F.col("b")).distinct()
+
+
+def forests(links: DataFrame) -> DataFrame:
+    """Links (a, b), b < a, that connect what ``links`` connects: a forest for each partition."""
+    return links.select("a", "b").where(F.col("a") != F.col("b")).mapInArrow(local_forest, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); the root is the component's smallest node.
 
-    Each round links every neighbour to the smallest one near it, so rounds grow
-    with the logarithm of a component's length.  Rounds are checkpointed; only
-    their counts and checksums reach the driver.
+    A partition's links become a forest of no more links than nodes.  Rounds of
+    large and small stars then join the forests; their number grows with the
+    logarithm of what is left of a component's length.  They end when every node
+    has one root that has none itself; only the count of others reaches the driver.
     """
-
-    def stars(e: DataFrame, large: bool) -> DataFrame:
-        ways = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = ways.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        out = ways.join(low, F.col("a") == F.col("n"), "inner")
-        if large:
-            out = out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        return out.where(F.col("a") != F.col("b")).distinct()
-
-    seen, e = None, links.select("a", "b").where(F.col("a") != F.col("b")).distinct()
+    e = forests(links)
     while True:
         e = checkpointed(compact(stars(stars(e, True), False)))
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        seen = now
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        seen = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if not seen.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("root") > 0))).count():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .components import components
+from .components import components, forests
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -122,6 +122,8 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 SHINGLE, ALIKE = 5, 0.8
 #: Bits in which near copies are looked for, and in which their fingerprints of longer shingles may differ.
 REACH, WIDE_REACH = 7, 20
+#: Ids up to which their table is broadcast.
+MOST_SENT = 200_000
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -158,47 +160,46 @@ def _described(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, items) of rows (doc_id, mark, text)."""
+    """(fp, items) of rows (fp, mark, text)."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in A.slices(whole, "text"):
                 items, offs = shingle_sets(b.column(2))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offs), pa.array(items.view(np.int64)))], ["doc_id", "mark", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(items.view(np.int64)))], ["fp", "items"])
 
-    return docs.mapInArrow(fn, "doc_id long, mark long, items array<long>")
-
-
-def _merged(groups: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """(root, low): the least ``low`` of the components that ``found`` makes of ``groups`` (key, low)."""
-    roots = components(found)
-    return groups.join(roots, F.col(key) == F.col("node"), "left").groupBy(F.coalesce("root", key).alias("root")).agg(F.min("low").alias("low"))
+    return docs.mapInArrow(fn, "fp long, items array<long>")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one for each group of near copies: that of the smallest id.
-
-    Fingerprints within 3 bits are one group.  Groups then stand by their first
-    documents, and those within 7 bits that have at least 0.8 of their five-word
-    shingles in common are merged; shingles are compared whole.  So no two of the
-    rows that stay are near copies in either sense, and a large group of near
-    copies is compared by few of its members.  Of rows with equal id and text in
-    a group, one stays.
+    """The rows of ``docs``, one for each group of near copies.
+
+    Fingerprints within 3 bits are one group.  Fingerprints without a smaller
+    one near them stand for their groups: those within 7 bits of each other that
+    have at least 0.8 of their five-word shingles in common are merged; shingles
+    are compared whole.  Of a group, the smallest fingerprint stays, by its
+    smallest id, so no two rows that stay are near copies in either sense, and a
+    large group of near copies is compared by few of its members.  Of rows with
+    equal id and text, one stays.
     """
     fps = A.checkpointed(A.compact(_described(docs, text_col, id_col)))
-    nodes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "mark", "fp", "wide", "n")).alias("low"))
-    firsts = A.checkpointed(A.compact(_merged(nodes, links(nodes), "fp").select("low.*")))
+    nodes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "mark", "wide", "n")).alias("low")).select("fp", "low.*")
+    forest = A.checkpointed(A.compact(forests(links(nodes))))
+    firsts = nodes.join(forest.select(F.col("a").alias("fp")).distinct(), "fp", "left_anti")
     fits = lambda a, b: (F.least(a["n"], b["n"]) >= ALIKE * F.greatest(a["n"], b["n"])) & (F.bit_count(a["wide"].bitwiseXOR(b["wide"])) <= WIDE_REACH)
     pairs = A.checkpointed(A.compact(links(firsts, REACH, 4, 1, ("wide", "n"), fits).distinct()))
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    asked = firsts.join(asked, "fp", "left_semi").select("fp", "doc_id", "mark")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    # few documents have a near one: their ids go to the texts, if they are not too many
+    small = asked.count() <= MOST_SENT
+    asked = nodes.join(asked, "fp", "left_semi").select("fp", "doc_id", "mark")
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    sets = asked.join(_sets(own.join(asked, ["doc_id", "mark"], "left_semi")).dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"]).select("fp", "items")
+    wanted = own.join(F.broadcast(asked) if small else asked, ["doc_id", "mark"], "inner").select("fp", "mark", "text")
+    sets = A.checkpointed(_sets(wanted).dropDuplicates(["fp"]))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     alike = both.where(shared >= ALIKE * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    groups = firsts.select("fp", F.struct("doc_id", "mark").alias("low"))
-    chosen = _merged(groups, alike, "fp").select(F.col("low.doc_id").alias("_i"), F.col("low.mark").alias("_m"))
+    gone = components(forest.unionByName(alike)).where(F.col("node") != F.col("root")).select(F.col("node").alias("fp"))
+    chosen = nodes.join(gone, "fp", "left_anti").select(F.col("doc_id").alias("_i"), F.col("mark").alias("_m"))
     kept = docs.withColumns({"_own_": F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)), "_mark_": F.xxhash64(text_col)})
     kept = kept.join(chosen, (F.col("_own_") == F.col("_i")) & (F.col("_mark_") == F.col("_m")), "left_semi")
     return kept.dropDuplicates(["_own_", "_mark_"]).drop("_own_", "_mark_")
