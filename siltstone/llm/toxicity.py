@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
-MAX_ROWS, MAX_WORDS, FOLDS, PENALTY = 8000, 256, 5, 0.3
+MAX_ROWS, MAX_WORDS, FOLDS, PENALTY = 8000, 512, 5, 0.3
 #: Standard deviations by which a word's share in a category must differ; thousands of words stay below by chance.
-LEAST_Z = 4.0
+LEAST_Z = 3.4
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
