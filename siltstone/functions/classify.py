@@ -53,10 +53,20 @@ def load_rules(path: str, block: str, key: str) -> tuple[tuple[str, tuple[str, .
     return tuple((str(e[key]), tuple(map(str, e["any"]))) for e in entries)
 
 
+def found(text: Column, keywords: Iterable[str]) -> Column:
+    """Whether any keyword occurs; its longest piece is looked for before the pattern runs."""
+    low, out = F.lower(text), None
+    for k in keywords:
+        piece = max(re.findall(r"[a-z0-9_]+", k.lower()) or [""], key=len) if k.isascii() else ""
+        hit = F.contains(low, F.lit(piece)) & text.rlike("(?i)" + keyword_pattern(k))
+        out = hit if out is None else out | hit
+    return F.lit(False) if out is None else out
+
+
 def first_match(text: Column, rules, default: str | None = None) -> Column:
     out = F.lit(default)
     for value, keywords in reversed(tuple(rules)):
-        out = F.when(text.rlike(any_pattern(keywords)), F.lit(value)).otherwise(out)
+        out = F.when(found(text, keywords), F.lit(value)).otherwise(out)
     return out
 
 
