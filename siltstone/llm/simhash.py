@@ -83,26 +83,23 @@ def segment_counts(fp: Column, part: int, parts: int, width: int) -> Column:
     return h if width == 1 else h - F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(PAIRS))
 
 
-def links(nodes: DataFrame, most: int = 3, parts: int = 2, width: int = 2, carry: tuple[str, ...] = (), fits=None) -> DataFrame:
+def links(nodes: DataFrame, most: int = 3, parts: int = 2, width: int = 2) -> DataFrame:
     """Pairs (a, b), a < b, of different values in ``fp`` that differ in at most ``most`` bits.
 
     ``most`` is below twice the number of parts, so one part's vector of segment
-    counts (segments of 1 or 2 bits) is at most 1 away.  ``fits`` is a further
-    condition on the columns in ``carry``, given as (left, right) by name.
+    counts (segments of 1 or 2 bits) is at most 1 away.
     """
     if most >= 2 * parts or width not in (1, 2) or (width == 2 and parts != 2):
         raise ValueError("no part has to be within one step")
     at = F.array(*[F.struct(F.lit(t).alias("t"), segment_counts(F.col("fp"), t, parts, width).alias("cell")) for t in range(parts)])
-    stand = nodes.select("fp", *carry, F.inline(at))
+    stand = nodes.select("fp", F.inline(at))
     top, count = (1 << width) - 1, 64 // parts // width
     full = 2 if width == 2 else 1
     # up one step: only in segments whose count can grow
     step = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.when(F.call_function("shiftright", F.col("cell"), i * width).bitwiseAND(F.lit(top)) < full, F.col("cell") + F.call_function("shiftleft", F.lit(1).cast("long"), i * width)))
     near = F.explode(F.concat(F.array("cell"), F.filter(step, lambda c: c.isNotNull()))).alias("near")
-    look = stand.select(F.col("t").alias("u"), F.col("fp").alias("a"), *[F.col(c).alias(f"a_{c}") for c in carry], near, F.col("cell").alias("own"))
+    look = stand.select(F.col("t").alias("u"), F.col("fp").alias("a"), near, F.col("cell").alias("own"))
     cond = (F.col("u") == F.col("t")) & (F.col("near") == F.col("cell")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= most) & ((F.col("near") != F.col("own")) | (F.col("a") < F.col("fp")))
-    if fits is not None:
-        cond = cond & fits({c: F.col(f"a_{c}") for c in carry}, {c: F.col(c) for c in carry})
     return look.join(stand, cond, "inner").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
 
 
@@ -118,10 +115,12 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return A.compact(fps.join(of, F.col("fp") == F.col("_fp"), "inner")).select("doc_id", "fp", "component_id")
 
 
-#: Copies as a stage removes them: shingles of so many words, so much in common.
-SHINGLE, ALIKE = 5, 0.8
-#: Bits in which near copies are looked for, and in which their fingerprints of longer shingles may differ.
-REACH, WIDE_REACH = 7, 20
+#: Copies as a stage removes them: shingles of so many words, so many fifths in common.
+SHINGLE, FIFTHS = 5, 4
+#: Documents in which frequent shingles are looked for, and how many of those are kept.
+SAMPLE, MOST_COMMON = 10_000, 100_000
+#: Members up to which all pairs of a shingle's documents are formed at once.
+SMALL = 8
 #: Ids up to which their table is broadcast.
 MOST_SENT = 200_000
 
@@ -145,18 +144,109 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return out, np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32)
 
 
+def common_shingles(docs: DataFrame, text_col: str, id_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, sorted, and how many have each.
+
+    They only set the order in which shingles are looked at; no result depends on them.
+    """
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in A.slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(b.column(0))[0].view(np.int64))], ["item"])
+
+    part = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(part)) == 0).select(F.col(text_col).alias("text"))
+    seen = sample.mapInArrow(fn, "item long").groupBy("item").count().where("count > 2").orderBy(F.desc("count")).limit(MOST_COMMON).toArrow()
+    items, counts = A.ids(seen["item"].combine_chunks()).view(A.U), A.ids(seen["count"].combine_chunks())
+    order = np.argsort(items)
+    return items[order], counts[order]
+
+
+def heads(texts: pa.Array, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of each text, rare ones first, as values and offsets; and how many there are in all.
+
+    Texts with 4 fifths of all their shingles in common share at least ceil(4 n / 5)
+    of either's n, so one of them is among the first n - ceil(4 n / 5) + 1 of both,
+    whatever the order is, if it is the same for all texts.
+    """
+    items, offs = shingle_sets(texts)
+    n = np.diff(offs).astype(np.int64)
+    row, seen = np.repeat(np.arange(len(n)), n), np.zeros(len(items), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], items), len(common[0]) - 1)
+        seen = np.where(common[0][at] == items, common[1][at], 0)
+    # items of a row are sorted already
+    order = np.argsort((row << 32) + np.minimum(seen, (1 << 32) - 1), kind="stable")
+    many = np.where(n > 0, n - (FIFTHS * n + 4) // 5 + 1, 0)
+    first = np.arange(len(items)) - offs[:-1][row] < many[row]
+    return items[order[first]], np.r_[0, np.cumsum(many)].astype(np.int32), n
+
+
 def _described(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, mark, fp, wide, n): both fingerprints and the number of shingles."""
+    """(doc_id, mark, fp, n, heads): fingerprint, number of shingles and the first of them."""
+    common = common_shingles(docs, text_col, id_col)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in A.slices(whole, "text"):
-                _, offs = shingle_sets(b.column(1))
-                prints = [pa.array(text_fingerprints(b.column(1), k).view(np.int64)) for k in (3, SHINGLE)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *prints, pa.array(np.diff(offs).astype(np.int64))], ["doc_id", "mark", "fp", "wide", "n"])
+                items, offs, n = heads(b.column(1), common)
+                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(items.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(text_fingerprints(b.column(1)).view(np.int64)), pa.array(n), lists], ["doc_id", "mark", "fp", "n", "heads"])
 
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    return d.mapInArrow(fn, "doc_id long, mark long, fp long, wide long, n long")
+    return d.mapInArrow(fn, "doc_id long, mark long, fp long, n long, heads array<long>")
+
+
+MET = "a long, b long, key long, n int, i int"
+
+
+def _met(cols: list[np.ndarray], every: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of sorted rows (key, fp, n, i) with one key that can be near copies.
+
+    Groups of more than ``SMALL`` rows: pairs with the smallest, and their rows again
+    without b; ``every``: all pairs.
+    """
+    key, fp, n, i = cols
+    begin = np.flatnonzero(A.group_starts(key))
+    size = np.diff(np.r_[begin, len(key)])
+    end, hub, large = np.repeat(begin + size, size), np.repeat(begin, size), np.repeat(size > SMALL, size) & (not every)
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        # shared shingles are at most this one and what follows it on either side, if it is the first shared one
+        most = np.minimum(n[x] - i[x], n[y] - i[y])
+        fits = (9 * most >= FIFTHS * (n[x] + n[y])) & (fp[x] != fp[y])
+        a, b = np.unique(np.stack([fp[x[fits]], fp[y[fits]]]), axis=1) if fits.any() else (fp[:0], fp[:0])
+        none = pa.nulls(len(a), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), none, none], ["a", "b", "key", "n", "i"])
+
+    at = np.flatnonzero(large)
+    if len(at):
+        yield pairs(hub[at], at)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.nulls(len(at), pa.int64()), pa.array(key[at]), pa.array(n[at].astype(np.int32)), pa.array(i[at].astype(np.int32))], ["a", "b", "key", "n", "i"])
+    at, step = np.flatnonzero(~large), 1
+    while len(at := at[at + step < end[at]]):
+        yield pairs(at, at + step)
+        step += 1
+
+
+def meetings(rows: DataFrame, every: bool) -> DataFrame:
+    """What ``_met`` says of rows (key, fp, n, i)."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            rest = [np.concatenate([r, A.ids(c)]) for r, c in zip(rest, b.columns)]
+            # the last key may go on in the next batch
+            cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+            if cut:
+                yield from _met([r[:cut] for r in rest], every)
+                rest = [r[cut:] for r in rest]
+        if len(rest[0]):
+            yield from _met(rest, every)
+
+    ways = A.buckets(rows.sparkSession)
+    return rows.select("key", "fp", "n", "i").repartition(ways, "key").sortWithinPartitions("key", "fp").mapInArrow(fn, MET)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -171,23 +261,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(fn, "fp long, items array<long>")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one for each group of near copies.
-
-    Fingerprints within 3 bits are one group.  Fingerprints without a smaller
-    one near them stand for their groups: those within 7 bits of each other that
-    have at least 0.8 of their five-word shingles in common are merged; shingles
-    are compared whole.  Of a group, the smallest fingerprint stays, by its
-    smallest id, so no two rows that stay are near copies in either sense, and a
-    large group of near copies is compared by few of its members.  Of rows with
-    equal id and text, one stays.
-    """
-    fps = A.checkpointed(A.compact(_described(docs, text_col, id_col)))
-    nodes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "mark", "wide", "n")).alias("low")).select("fp", "low.*")
-    forest = A.checkpointed(A.compact(forests(links(nodes))))
-    firsts = nodes.join(forest.select(F.col("a").alias("fp")).distinct(), "fp", "left_anti")
-    fits = lambda a, b: (F.least(a["n"], b["n"]) >= ALIKE * F.greatest(a["n"], b["n"])) & (F.bit_count(a["wide"].bitwiseXOR(b["wide"])) <= WIDE_REACH)
-    pairs = A.checkpointed(A.compact(links(firsts, REACH, 4, 1, ("wide", "n"), fits).distinct()))
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b) of fingerprints whose texts have at least 4 fifths of their shingles in common."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     # few documents have a near one: their ids go to the texts, if they are not too many
     small = asked.count() <= MOST_SENT
@@ -197,8 +272,33 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     sets = A.checkpointed(_sets(wanted).dropDuplicates(["fp"]))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    alike = both.where(shared >= ALIKE * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    gone = components(forest.unionByName(alike)).where(F.col("node") != F.col("root")).select(F.col("node").alias("fp"))
+    return A.checkpointed(A.compact(both.where(5 * shared >= FIFTHS * (F.size("x") + F.size("y") - shared)).select("a", "b")))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one for each group of near copies.
+
+    Fingerprints within 3 bits are one group.  Fingerprints without a smaller
+    one near them stand for their groups: those that have at least 0.8 of their
+    five-word shingles in common are merged, however far their fingerprints are
+    apart.  Such pairs share one of their first shingles (see ``heads``) and are
+    compared whole.  Where many share one, all are first compared with the
+    smallest of them, and only those unlike it with each other.  Of a group, the
+    smallest fingerprint stays, by its smallest id, so no two rows that stay are
+    near copies in either sense.  Of rows with equal id and text, one stays.
+    """
+    fps = A.checkpointed(A.compact(_described(docs, text_col, id_col)))
+    nodes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("low")).select("fp", "low.*")
+    forest = A.checkpointed(A.compact(forests(links(nodes))))
+    firsts = nodes.join(forest.select(F.col("a").alias("fp")).distinct(), "fp", "left_anti")
+    rows = fps.join(firsts, ["fp", "doc_id", "mark"], "left_semi").select("fp", F.col("n").cast("int").alias("n"), F.posexplode("heads").alias("i", "key"))
+    met = A.checkpointed(A.compact(meetings(rows, False).distinct()))
+    near = _alike(docs, nodes, met.where("b IS NOT NULL").select("a", "b"), id_col, text_col)
+    # the larger of two near copies goes; what is left of large groups is compared in pairs
+    left = met.where("b IS NULL").select("key", F.col("a").alias("fp"), "n", "i").join(near.select(F.col("b").alias("fp")).distinct(), "fp", "left_anti")
+    pairs = A.checkpointed(A.compact(meetings(left, True).select("a", "b").distinct()))
+    more = _alike(docs, nodes, pairs, id_col, text_col)
+    gone = components(forest.unionByName(near).unionByName(more)).where(F.col("node") != F.col("root")).select(F.col("node").alias("fp"))
     chosen = nodes.join(gone, "fp", "left_anti").select(F.col("doc_id").alias("_i"), F.col("mark").alias("_m"))
     kept = docs.withColumns({"_own_": F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)), "_mark_": F.xxhash64(text_col)})
     kept = kept.join(chosen, (F.col("_own_") == F.col("_i")) & (F.col("_mark_") == F.col("_m")), "left_semi")

@@ -327,6 +327,31 @@ def test_no_near_copies_stay(spark):
         assert i in kept or any(near_copies(t, u) for j, u in rows if j != i and origin[j] == origin[i])
 
 
+def five_words(t):
+    w = words((t or "").lower())
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_no_texts_with_most_shingles_in_common_stay(spark):
+    rnd = random.Random(21)
+    vocab = [f"w{i}" for i in range(3000)]
+    shared = [rnd.choice(vocab) for _ in range(40)]  # frequent shingles
+    rows = []
+    for g in range(30):
+        base = [rnd.choice(vocab) for _ in range(rnd.randint(4, 250))] + shared * (g % 3 == 0)
+        for _ in range(40 if g == 0 else rnd.randint(1, 4)):
+            at, many = rnd.randrange(len(base)), rnd.randint(0, len(base) // 12)
+            rows.append((len(rows), " ".join(base[:at] + [rnd.choice(vocab) for _ in range(many)] + base[at + many :])))
+    sets, prints = [five_words(t) for _, t in rows], [brute_fingerprint(t) for _, t in rows]
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if alike(a, b)]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 7 for a, b in pairs) > 10
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert not [(a, b) for a in kept for b in kept if a < b and alike(a, b)]
+    for i in range(len(rows)):  # what went has a near copy
+        assert i in kept or any(i in p for p in pairs) or any((prints[i] ^ prints[j]).bit_count() <= 3 for j in range(len(rows)) if j != i)
+
+
 def test_long_chains_are_one_component(spark):
     from siltstone.llm.components import components
 
