@@ -17,6 +17,8 @@ each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +36,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def load_tokenizer(ranks_file: str, pattern: str):
-    """A byte-level BPE from its ranks; strings of special tokens are ordinary text."""
+    """A byte-level BPE from its ranks; to itself, strings of special tokens are ordinary text."""
     import tiktoken
 
     with open(ranks_file, "rb") as f:
@@ -49,16 +51,45 @@ def public_ranks() -> tuple[str, str]:
     return P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
-def cut(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", tokenizer=public_ranks) -> DataFrame:
+def public_json() -> str:
+    """The vocabulary whose ids are the result."""
+    import public_tokenizers as P
+
+    return P.path("byte_bpe_50k.json")
+
+
+
+class Encoder:
+    """The ids that the vocabulary in ``whole`` gives, by ranks where they can be used.
+
+    Texts are cut at the vocabulary's added tokens, which are one id each.
+    """
+
+    def __init__(self, ranks_file: str, pattern: str, whole: str):
+        self.ranks = load_tokenizer(ranks_file, pattern)
+        with open(whole, encoding="utf-8") as f:
+            self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+
+    def encode(self, text: str) -> list[int]:
+        if not any(t in text for t in self.added):
+            return self.ranks.encode_ordinary(text)
+        out: list[int] = []
+        for k, part in enumerate(self.cuts.split(text)):
+            out += [self.added[part]] if k % 2 else self.ranks.encode_ordinary(part)
+        return out
+
+
+def cut(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", tokenizer=public_ranks, vocabulary=public_json) -> DataFrame:
     """One row for each piece: whole windows, then the remainder."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = load_tokenizer(*tokenizer())
+        enc = Encoder(*tokenizer(), vocabulary())
         for whole in batches:
             for batch in A.slices(whole, "text"):
                 rows: list[tuple] = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    got = np.array([*enc.encode_ordinary(text or ""), end_id], dtype="<u4")
+                    got = np.array([*enc.encode(text or ""), end_id], dtype="<u4")
                     for at in range(0, len(got), capacity):
                         piece = got[at : at + capacity]
                         rows.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(got)))

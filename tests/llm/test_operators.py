@@ -114,6 +114,24 @@ def test_special_strings_are_text():
     assert 50256 not in enc.encode_ordinary("a <|endoftext|> b")
 
 
+def packed_as_by_tokenizers(spark, texts):
+    """Compares with the tokenizers library as it is set by default."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=1 << 22).collect()
+    got = {r.doc_id: (r.ids_crc32, r.doc_tokens) for r in rows}
+    for i, t in enumerate(texts):
+        want = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (zlib.crc32(want.tobytes()), len(want))
+
+
+def test_special_tokens_are_one_id(spark):
+    end = "<|endoftext|>"
+    packed_as_by_tokenizers(spark, [f"a {end} b", end, f"  {end}  {end}{end}x \n", f"a \n\n{end}\n b <|endoftext", f"é{end}漢 <|ENDOFTEXT|>"])
+
+
 # --- toxicity ---------------------------------------------------------------------------
 
 
