@@ -58,20 +58,31 @@ def public_json() -> str:
     return P.path("byte_bpe_50k.json")
 
 
+#: Characters from which texts are searched for long runs; tiktoken fails on about a million blanks.
+LONG_RUN = 100_000
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
+
 
 class Encoder:
     """The ids that the vocabulary in ``whole`` gives, by ranks where they can be used.
 
-    Texts are cut at the vocabulary's added tokens, which are one id each.
+    Texts are cut at the vocabulary's added tokens, which are one id each.  Texts
+    with a long run of blanks go to the tokenizers library.
     """
 
     def __init__(self, ranks_file: str, pattern: str, whole: str):
-        self.ranks = load_tokenizer(ranks_file, pattern)
+        self.ranks, self.whole, self.slow = load_tokenizer(ranks_file, pattern), whole, None
         with open(whole, encoding="utf-8") as f:
             self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         self.cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
     def encode(self, text: str) -> list[int]:
+        if len(text) >= LONG_RUN and _RUN.search(text):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.whole)
+            return self.slow.encode(text, add_special_tokens=False).ids
         if not any(t in text for t in self.added):
             return self.ranks.encode_ordinary(text)
         out: list[int] = []

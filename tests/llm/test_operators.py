@@ -132,6 +132,10 @@ def test_special_tokens_are_one_id(spark):
     packed_as_by_tokenizers(spark, [f"a {end} b", end, f"  {end}  {end}{end}x \n", f"a \n\n{end}\n b <|endoftext", f"é{end}漢 <|ENDOFTEXT|>"])
 
 
+def test_long_runs_of_blanks(spark):
+    packed_as_by_tokenizers(spark, ["a" + " " * 3_000_000 + "b", "x " + "\n" * 1_200_000 + "y <|endoftext|> z", "a" + " " * 99_999 + "b"])
+
+
 # --- toxicity ---------------------------------------------------------------------------
 
 
