@@ -31,16 +31,20 @@ from . import arrays as A
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret; ``group`` (0: all) must have ``least`` characters."""
+    """A kind of secret; ``group`` (0: all) must have ``least`` characters.
+
+    ``pattern`` finds it; a match goes on through ``tail``, which can be empty.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
     ignore_case: bool = False
+    tail: str = ""
 
     def compiled(self) -> re.Pattern[str]:
-        return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
+        return re.compile(self.pattern + self.tail, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
 
 BASE_RULES = (
@@ -49,6 +53,14 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]+", 24),
 )
+# what stands between the lines of a key: blanks, also escaped, and marks of quotations, comments and strings
+_BETWEEN = r"""(?:[\s>#*|"',;]|\\[nrt]|\+(?=\s))"""
+# a key after its first line: all up to the END line, or without one the lines of its
+# header and of base64, with a shorter line after long ones
+_KEY_BODY = (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rf"|(?:{_BETWEEN}++[A-Za-z][A-Za-z-]*+:[^\n\\]*+)*+(?:{_BETWEEN}++[A-Za-z0-9+/]{{24,}}+={{0,2}})++(?:{_BETWEEN}++[A-Za-z0-9+/]++={{0,2}}(?=[\s\"'\\]*?(?:[\n\\]|\Z)))?)?"
+)
 # fixed values: published formats of credentials
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -59,7 +71,7 @@ MORE_RULES = (
     Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", tail=_KEY_BODY),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{6,128}@[a-z0-9.-]{3,}"),
 )
 

@@ -493,6 +493,22 @@ def test_secrets(spark, odd, nothing):
     assert secret_scan.redact(nothing).count() == 0
 
 
+def test_private_keys_are_removed(spark):
+    rnd = random.Random(3)
+    line = lambda n: "".join(rnd.choice("ABCDabcd0189+/") for _ in range(n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(["", *(line(64) for _ in range(6)), line(21) + "=="])
+    cases = [
+        (begin + body + "\n" + end, " after"), (begin + body, "\nplain words after"), (begin + body, ""), (begin + "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB01\n" + body, "\nplain words"),
+        ((begin + body + "\n" + end).replace("\n", "\\n"), '"}'), ("> ".join((begin + body + "\n" + end).splitlines(True)), "\n"), (begin, " is how keys begin, and some words follow it"), (begin + body, "\n-----BEGIN CERTIFICATE-----"),
+    ]
+    docs = spark.createDataFrame([(i, "words " + key + rest) for i, (key, rest) in enumerate(cases)], "doc_id long, text string")
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "private_key"] for r in secret_scan.scan_secrets(docs).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for i, (key, rest) in enumerate(cases):
+        assert spans[i] == [(6, 6 + len(key))] and clean[i] == "words [private_key]" + rest
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("[0-9a-f]+") is True and q("(ab|cd)?x") is True
