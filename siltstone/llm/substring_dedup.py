@@ -63,9 +63,12 @@ def _shared(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: int, send: boo
     ones = np.ones(int(both.sum()), np.int32)
     out = R.placed(R.OPEN, n, doc[both], pos[both], ones, np.zeros(len(ones), np.uint16))
     if send:
-        # of a shared key, one place stands for all in this slice
-        stays = ~both
-        stays[begin[low != high]] = True
+        # of a shared key, the places of the smallest and of the largest id stand for all in this slice:
+        # with both, other texts under one of these ids are looked at as well
+        stays, many = ~both, np.flatnonzero(both)
+        many = many[np.lexsort((doc[many], group[many]))]
+        new = A.group_starts(group[many])
+        stays[many[new | np.r_[new[1:], True][: len(many)]]] = True
         out += R.keyed(key[stays], n, doc[stays], pos[stays])
     return out
 

@@ -229,6 +229,18 @@ def test_repeated_words(corpus, odd, nothing):
     assert substring_dedup.dedup(nothing).count() == 0
 
 
+def test_repeated_words_of_texts_under_one_id(spark):
+    rnd = random.Random(8)
+    text = lambda n: " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(1000)) for _ in range(n))
+    one, two = [], []
+    for g in range(20):
+        passage = text(40)
+        one += [(2 * g + 1, text(5) + " " + passage), (2 * g, text(9) + " " + passage)]
+        two.append((2 * g + 1, text(90) + " " + passage))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, substring_dedup.dedup(frame(one).union(frame(two))).collect())) == sorted(brute_words(one + two))
+
+
 # --- mixing -------------------------------------------------------------------------------
 
 
