@@ -120,7 +120,7 @@ SHINGLE, FIFTHS = 5, 4
 #: Documents in which frequent shingles are looked for, and how many of those are kept.
 SAMPLE, MOST_COMMON = 10_000, 100_000
 #: Members up to which all pairs of a shingle's documents are formed at once.
-SMALL = 8
+SMALL = 2
 #: Ids up to which their table is broadcast.
 MOST_SENT = 200_000
 
@@ -250,29 +250,49 @@ def meetings(rows: DataFrame, every: bool) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(fp, items) of rows (fp, mark, text)."""
+    """(fp, to, items) of rows (fp, to, text): the shingles, once for each value in ``to``."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in A.slices(whole, "text"):
                 items, offs = shingle_sets(b.column(2))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(items.view(np.int64)))], ["fp", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offs), pa.array(items.view(np.int64)))], ["fp", "to", "items"])
 
-    return docs.mapInArrow(fn, "fp long, items array<long>")
+    return docs.mapInArrow(fn, "fp long, to array<long>, items array<long>").select("fp", F.explode("to").alias("to"), "items")
 
 
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of fingerprints whose texts have at least 4 fifths of their shingles in common."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    """Those of the pairs (a, b) of fingerprints whose texts have at least 4 fifths of their shingles in common.
+
+    Shingles of b go to a, where a's own are first.
+    """
+    asked = pairs.select(F.col("b").alias("fp"), F.col("a").alias("to")).unionByName(pairs.select(F.col("a").alias("fp"), F.col("a").alias("to"))).groupBy("fp").agg(F.collect_set("to").alias("to"))
+    asked = A.checkpointed(A.compact(nodes.join(asked, "fp", "inner").select("fp", "doc_id", "mark", "to")))
     # few documents have a near one: their ids go to the texts, if they are not too many
-    small = asked.count() <= MOST_SENT
-    asked = nodes.join(asked, "fp", "left_semi").select("fp", "doc_id", "mark")
+    small = asked.agg(F.count("fp") + F.sum(F.size("to"))).first()[0] or 0
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    wanted = own.join(F.broadcast(asked) if small else asked, ["doc_id", "mark"], "inner").select("fp", "mark", "text")
-    sets = A.checkpointed(_sets(wanted).dropDuplicates(["fp"]))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return A.checkpointed(A.compact(both.where(5 * shared >= FIFTHS * (F.size("x") + F.size("y") - shared)).select("a", "b")))
+    wanted = own.join(F.broadcast(asked) if small <= MOST_SENT else asked, ["doc_id", "mark"], "inner").select("fp", "to", "text")
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            lists = batch.column(2)
+            for k, (fp, to) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if fp == to and hub == to:
+                    continue  # a row repeated
+                items = np.sort(np.asarray(lists[k].values))
+                if fp == to:
+                    hub, own = to, items
+                elif len(own) and len(items):
+                    at = np.minimum(np.searchsorted(own, items), len(own) - 1)
+                    shared = int((own[at] == items).sum())
+                    if 5 * shared >= FIFTHS * (len(own) + len(items) - shared):
+                        out.append((to, fp))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    sent = _sets(wanted).repartition(A.buckets(docs.sparkSession), "to").sortWithinPartitions("to", F.col("fp") != F.col("to"))
+    return A.checkpointed(A.compact(sent.mapInArrow(fn, "a long, b long").distinct()))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
