@@ -105,6 +105,17 @@ def compact(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like these that no column has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` bytes of text; a longer text is alone."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .components import components, forests
+from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,10 +119,10 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 SHINGLE, FIFTHS = 5, 4
 #: Documents in which frequent shingles are looked for, and how many of those are kept.
 SAMPLE, MOST_COMMON = 10_000, 100_000
-#: Members up to which all pairs of a shingle's documents are formed at once.
-SMALL = 2
 #: Ids up to which their table is broadcast.
 MOST_SENT = 200_000
+#: Pairs of one text that are compared in one task.
+SHARE = 2000
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +144,35 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return out, np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32)
 
 
+def bitmaps(items: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """For each set, one bit for each value of its items' low bits: whether an odd number of items has it.
+
+    Two sets differ in at least as many items as their bitmaps differ in bits.
+    A bitmap has a power of two of bits, one to two for each item.
+    """
+    n = np.diff(offs).astype(np.int64)
+    size = np.maximum(8, 1 << np.ceil(np.log2(n + 1)).astype(np.int64))
+    end = np.cumsum(size)
+    row = np.repeat(np.arange(len(n)), n)
+    at = (end - size)[row] + (items & (size[row] - 1).astype(A.U)).astype(np.int64)
+    flat = np.packbits(np.bincount(at, minlength=int(end[-1]) if len(end) else 0) & 1, bitorder="little").tobytes()
+    return [flat[b - s : b] for b, s in zip((end // 8).tolist(), (size // 8).tolist())]
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two bitmaps, the longer one folded to the size of the other."""
+    small = min(len(x), len(y))
+
+    def folded(b: bytes) -> int:
+        v, size = int.from_bytes(b, "little"), len(b)
+        while size > small:
+            size //= 2
+            v = (v ^ v >> 8 * size) & (1 << 8 * size) - 1
+        return v
+
+    return (folded(x) ^ folded(y)).bit_count()
+
+
 def common_shingles(docs: DataFrame, text_col: str, id_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a sample have, sorted, and how many have each.
 
@@ -183,143 +212,256 @@ def heads(texts: pa.Array, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
     return items[order[first]], np.r_[0, np.cumsum(many)].astype(np.int32), n
 
 
-def _described(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, mark, fp, n, heads): fingerprint, number of shingles and the first of them."""
-    common = common_shingles(docs, text_col, id_col)
+def _marked(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(doc_id, mark, text); equal texts have equal marks."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+
+
+def _described(marked: DataFrame) -> DataFrame:
+    """(doc_id, mark, fp, n, bits): fingerprint, number of shingles and their bitmap."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in A.slices(whole, "text"):
-                items, offs, n = heads(b.column(1), common)
-                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(items.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(text_fingerprints(b.column(1)).view(np.int64)), pa.array(n), lists], ["doc_id", "mark", "fp", "n", "heads"])
+                items, offs = shingle_sets(b.column(2))
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(text_fingerprints(b.column(2)).view(np.int64)), pa.array(np.diff(offs)), pa.array(bitmaps(items, offs), pa.binary())], ["doc_id", "mark", "fp", "n", "bits"])
 
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    return d.mapInArrow(fn, "doc_id long, mark long, fp long, n long, heads array<long>")
+    return marked.mapInArrow(fn, "doc_id long, mark long, fp long, n int, bits binary")
 
 
-MET = "a long, b long, key long, n int, i int"
+def _head_rows(marked: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, mark, n, i): the first shingles of each text and their places; of equal texts of a slice, the first one's."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in A.slices(whole, "text"):
+                mark = A.ids(b.column(0))
+                pick = np.sort(np.unique(mark, return_index=True)[1])
+                items, offs, n = heads(b.column(1).take(pa.array(pick)), common)
+                row = A.rows_of(offs)
+                cols = [items.view(np.int64), mark[pick][row], n[row].astype(np.int32), (np.arange(len(row)) - offs[:-1][row]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "mark", "n", "i"])
+
+    return marked.select("mark", "text").mapInArrow(fn, "key long, mark long, n int, i int")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition(A.buckets(rows.sparkSession), "key").sortWithinPartitions("key", "mark")
 
 
-def _met(cols: list[np.ndarray], every: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of sorted rows (key, fp, n, i) with one key that can be near copies.
+def first_meetings(rows: DataFrame) -> DataFrame:
+    """(a, b, key, n, i, more): each text b of a key with the first text a of that key.
 
-    Groups of more than ``SMALL`` rows: pairs with the smallest, and their rows again
-    without b; ``every``: all pairs.
+    ``n`` and ``i`` are those of b; ``more`` says that the key has other texts besides.
+    Rows pass in order and only the first of the open key is held, so a key of any
+    size takes no memory.
     """
-    key, fp, n, i = cols
+    names = ["a", "b", "key", "n", "i", "more"]
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of the open key: its first text and the last one seen, once it has three; up to two rows otherwise
+        head = last = None
+        rest = [np.zeros(0, np.int64)] * 4
+
+        def split(cols: list[np.ndarray], final: bool) -> pa.RecordBatch | None:
+            nonlocal head, last, rest
+            new = A.group_starts(cols[0], cols[1])
+            if len(new) and head is not None and (cols[0][0], cols[1][0]) == last:
+                new[0] = False
+            cols = [c[new] for c in cols]
+            key, mark, n, i = cols
+            if not len(key):
+                return None
+            goes_on = head is not None and head[0] == key[0]
+            begin = np.flatnonzero(A.group_starts(key))
+            size = np.diff(np.r_[begin, len(key)])
+            hub, many = np.repeat(mark[begin], size), np.repeat(size, size)
+            out = np.ones(len(key), bool)
+            out[begin] = False
+            if goes_on:
+                hub[: size[0]], many[: size[0]], out[0] = head[1], 3, True
+            rest, tail = [c[:0] for c in cols], begin[-1]
+            if not final:
+                if many[-1] < 3:  # may still grow
+                    rest, out[tail:] = [c[tail:] for c in cols], False
+                    head = last = None
+                else:
+                    head, last = (key[-1], hub[-1]), (key[-1], mark[-1])
+            return pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (hub, mark, key, n.astype(np.int32), i.astype(np.int32), many > 2)], names)
+
+        for b in batches:
+            got = split([np.concatenate([r, A.ids(c)]) for r, c in zip(rest, b.columns)], False)
+            if got is not None:
+                yield got
+        got = split(rest, True)
+        if got is not None:
+            yield got
+
+    return _grouped(rows).select("key", "mark", "n", "i").mapInArrow(fn, "a long, b long, key long, n int, i int, more boolean")
+
+
+MEMBER, BESIDE, FAR = 0, 1, 2
+
+
+def _pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sorted rows (key, mark, n, i, state) with one key that can be near copies; of members, only with those beside."""
+    key, mark, n, i, state = cols
     begin = np.flatnonzero(A.group_starts(key))
     size = np.diff(np.r_[begin, len(key)])
-    end, hub, large = np.repeat(begin + size, size), np.repeat(begin, size), np.repeat(size > SMALL, size) & (not every)
-
-    def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        # shared shingles are at most this one and what follows it on either side, if it is the first shared one
-        most = np.minimum(n[x] - i[x], n[y] - i[y])
-        fits = (9 * most >= FIFTHS * (n[x] + n[y])) & (fp[x] != fp[y])
-        a, b = np.unique(np.stack([fp[x[fits]], fp[y[fits]]]), axis=1) if fits.any() else (fp[:0], fp[:0])
-        none = pa.nulls(len(a), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), none, none], ["a", "b", "key", "n", "i"])
-
-    at = np.flatnonzero(large)
-    if len(at):
-        yield pairs(hub[at], at)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.nulls(len(at), pa.int64()), pa.array(key[at]), pa.array(n[at].astype(np.int32)), pa.array(i[at].astype(np.int32))], ["a", "b", "key", "n", "i"])
-    at, step = np.flatnonzero(~large), 1
+    end = np.repeat(begin + size, size)
+    at, step = np.arange(len(key)), 1
     while len(at := at[at + step < end[at]]):
-        yield pairs(at, at + step)
+        x, y = at, at + step
         step += 1
+        # shared shingles are at most this one and what follows it on either side, if it is the first shared one
+        most = np.minimum(n[x] - i[x], n[y] - i[y])
+        fits = (9 * most >= FIFTHS * (n[x] + n[y])) & (mark[x] != mark[y])
+        low, high = np.minimum(state[x], state[y]), np.maximum(state[x], state[y])
+        fits &= (low > MEMBER) | (high == BESIDE)
+        if fits.any():
+            yield pa.RecordBatch.from_arrays([pa.array(mark[x[fits]]), pa.array(mark[y[fits]])], ["a", "b"])
 
 
-def meetings(rows: DataFrame, every: bool) -> DataFrame:
-    """What ``_met`` says of rows (key, fp, n, i)."""
+def other_meetings(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, of ``_pairs`` over rows (key, mark, n, i, state)."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest, size = [], 0
+
+        def joined() -> list[np.ndarray]:
+            return [np.concatenate([A.ids(b.column(k)) for b in rest]) if rest else np.zeros(0, np.int64) for k in range(5)]
+
         for b in batches:
-            rest = [np.concatenate([r, A.ids(c)]) for r, c in zip(rest, b.columns)]
+            if not b.num_rows:
+                continue
+            rest, size = [*rest, b], size + b.num_rows
+            keys = A.ids(b.column(0))
             # the last key may go on in the next batch
-            cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
-            if cut:
-                yield from _met([r[:cut] for r in rest], every)
-                rest = [r[cut:] for r in rest]
-        if len(rest[0]):
-            yield from _met(rest, every)
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut or A.ids(rest[0].column(0))[0] != keys[-1]:
+                cols, upto = joined(), size - b.num_rows + cut
+                yield from _pairs([c[:upto] for c in cols])
+                rest, size = [b.slice(cut)], b.num_rows - cut
+        yield from _pairs(joined())
 
-    ways = A.buckets(rows.sparkSession)
-    return rows.select("key", "fp", "n", "i").repartition(ways, "key").sortWithinPartitions("key", "fp").mapInArrow(fn, MET)
+    return _grouped(rows).select("key", "mark", "n", "i", "state").mapInArrow(fn, "a long, b long").distinct()
+
+
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) with a part, and the parts (a, part) of each a: ``SHARE`` pairs or so in each."""
+    many = A.checkpointed(pairs.groupBy("a").count().where(F.col("count") > SHARE).select("a", F.ceil(F.col("count") / SHARE).cast("int").alias("ways")))
+    many = F.broadcast(many) if many.count() <= MOST_SENT else many
+    part = F.pmod(F.xxhash64("b"), F.coalesce("ways", F.lit(1))).cast("int").alias("part")
+    parts = pairs.select("a").distinct().join(many, "a", "left").select("a", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("part"))
+    return pairs.join(many, "a", "left").select("a", "b", part), parts
+
+
+def _weighed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, fa, fb, near) of the pairs whose bitmaps leave 0.6 of their shingles in common possible; ``near``: 0.8."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = A.ids(b.column(4)) + A.ids(b.column(5))
+            apart = np.fromiter(map(bits_apart, b.column(6).to_pylist(), b.column(7).to_pylist()), np.int64, b.num_rows)
+            # of n items in all, at most n / 9 (n / 4) are on one side only
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(9 * apart <= n)], ["a", "b", "fa", "fb", "near"]).filter(pa.array(4 * apart <= n))
+
+    dealt, parts = _dealt(pairs)
+    left = texts.select(F.col("mark").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("bits").alias("xa")).join(parts, "a")
+    right = texts.select(F.col("mark").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    both = dealt.join(right, "b").join(left, ["a", "part"]).where((5 * F.col("na") >= 3 * F.col("nb")) & (5 * F.col("nb") >= 3 * F.col("na")))
+    return both.select("a", "b", "fa", "fb", "na", "nb", "xa", "xb").mapInArrow(fn, "a long, b long, fa long, fb long, near boolean")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(fp, to, items) of rows (fp, to, text): the shingles, once for each value in ``to``."""
+    """(mark, to, part, items) of rows (mark, to, text): the shingles, once for each value in ``to``."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in A.slices(whole, "text"):
                 items, offs = shingle_sets(b.column(2))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offs), pa.array(items.view(np.int64)))], ["fp", "to", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offs), pa.array(items.view(np.int64)))], ["mark", "to", "items"])
 
-    return docs.mapInArrow(fn, "fp long, to array<long>, items array<long>").select("fp", F.explode("to").alias("to"), "items")
+    return docs.mapInArrow(fn, "mark long, to array<struct<a long, part int>>, items array<long>").select("mark", F.inline("to").alias("to", "part"), "items")
 
 
-def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of fingerprints whose texts have at least 4 fifths of their shingles in common.
+def _alike(marked: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of marks whose texts have at least 4 fifths of their shingles in common.
 
-    Shingles of b go to a, where a's own are first.
+    Shingles of b go to the parts of a, where a's own are first.
     """
-    asked = pairs.select(F.col("b").alias("fp"), F.col("a").alias("to")).unionByName(pairs.select(F.col("a").alias("fp"), F.col("a").alias("to"))).groupBy("fp").agg(F.collect_set("to").alias("to"))
-    asked = A.checkpointed(A.compact(nodes.join(asked, "fp", "inner").select("fp", "doc_id", "mark", "to")))
-    # few documents have a near one: their ids go to the texts, if they are not too many
-    small = asked.agg(F.count("fp") + F.sum(F.size("to"))).first()[0] or 0
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    wanted = own.join(F.broadcast(asked) if small <= MOST_SENT else asked, ["doc_id", "mark"], "inner").select("fp", "to", "text")
+    dealt, _ = _dealt(pairs)
+    sends = dealt.select(F.col("b").alias("mark"), "a", "part").unionByName(dealt.select(F.col("a").alias("mark"), "a", "part"))
+    asked = sends.groupBy("mark").agg(F.collect_set(F.struct("a", "part")).alias("to"))
+    asked = A.checkpointed(A.compact(texts.select("mark", "doc_id").join(asked, "mark")))
+    # few texts have a near one: their ids go to the texts, if they are not too many
+    small = asked.agg(F.count("mark") + F.sum(F.size("to"))).first()[0] or 0
+    wanted = marked.join(F.broadcast(asked) if small <= MOST_SENT else asked, ["doc_id", "mark"], "inner").select("mark", "to", "text")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.zeros(0, np.int64)
         for batch in batches:
             out: list[tuple[int, int]] = []
-            lists = batch.column(2)
-            for k, (fp, to) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if fp == to and hub == to:
+            lists = batch.column(3)
+            for k, (mark, to, part) in enumerate(zip(*[batch.column(j).to_pylist() for j in range(3)])):
+                if mark == to and hub == (to, part):
                     continue  # a row repeated
                 items = np.sort(np.asarray(lists[k].values))
-                if fp == to:
-                    hub, own = to, items
+                if mark == to:
+                    hub, own = (to, part), items
                 elif len(own) and len(items):
                     at = np.minimum(np.searchsorted(own, items), len(own) - 1)
                     shared = int((own[at] == items).sum())
                     if 5 * shared >= FIFTHS * (len(own) + len(items) - shared):
-                        out.append((to, fp))
+                        out.append((to, mark))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    sent = _sets(wanted).repartition(A.buckets(docs.sparkSession), "to").sortWithinPartitions("to", F.col("fp") != F.col("to"))
+    sent = _sets(wanted).repartition(A.buckets(marked.sparkSession), "to", "part").sortWithinPartitions("to", "part", F.col("mark") != F.col("to"))
     return A.checkpointed(A.compact(sent.mapInArrow(fn, "a long, b long").distinct()))
 
 
+def near_texts(marked: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Links (a, b) of fingerprints that connect all texts with 4 fifths of their shingles in common.
+
+    Texts meet by their first shingles.  Each is compared with the first text of
+    the shingle: near copies of that one are its members.  A text that is near a
+    member has at least 0.6 in common with the first one, since one minus the share
+    is a metric; so members are compared only with those that may have that, and
+    all others with each other.
+    """
+    met = A.checkpointed(A.compact(first_meetings(_head_rows(marked, common))))
+    first = A.checkpointed(A.compact(_weighed(met.select("a", "b").distinct(), texts)))
+    near = _alike(marked, texts, first.where("near").select("a", "b"))
+    state = first.select("a", "b").join(near.withColumn("member", F.lit(MEMBER)), ["a", "b"], "left").select("a", "b", F.coalesce("member", F.lit(BESIDE)).alias("state"))
+    rows = met.where("more").join(state, ["a", "b"], "left").select("key", F.col("b").alias("mark"), "n", "i", F.coalesce("state", F.lit(FAR)).alias("state"))
+    beside = rows.where(F.col("state") == BESIDE).select("key").distinct()
+    rows = rows.where(F.col("state") != MEMBER).unionByName(rows.where(F.col("state") == MEMBER).join(beside, "key", "left_semi"))
+    second = A.checkpointed(A.compact(_weighed(other_meetings(rows), texts).where("near")))
+    more = _alike(marked, texts, second.select("a", "b"))
+    named = lambda found, of: found.join(of.select("a", "b", "fa", "fb"), ["a", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return named(near, first).unionByName(named(more, second))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one for each group of near copies.
 
-    Fingerprints within 3 bits are one group.  Fingerprints without a smaller
-    one near them stand for their groups: those that have at least 0.8 of their
-    five-word shingles in common are merged, however far their fingerprints are
-    apart.  Such pairs share one of their first shingles (see ``heads``) and are
-    compared whole.  Where many share one, all are first compared with the
-    smallest of them, and only those unlike it with each other.  Of a group, the
-    smallest fingerprint stays, by its smallest id, so no two rows that stay are
-    near copies in either sense.  Of rows with equal id and text, one stays.
+    Two texts are linked if their fingerprints are within 3 bits or they have at
+    least 0.8 of their five-word shingles in common, however far their fingerprints
+    are apart (``near_texts``).  Of each group that links connect, the row with the
+    smallest id stays; of rows with equal id and text, one stays.
     """
-    fps = A.checkpointed(A.compact(_described(docs, text_col, id_col)))
-    nodes = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("low")).select("fp", "low.*")
-    forest = A.checkpointed(A.compact(forests(links(nodes))))
-    firsts = nodes.join(forest.select(F.col("a").alias("fp")).distinct(), "fp", "left_anti")
-    rows = fps.join(firsts, ["fp", "doc_id", "mark"], "left_semi").select("fp", F.col("n").cast("int").alias("n"), F.posexplode("heads").alias("i", "key"))
-    met = A.checkpointed(A.compact(meetings(rows, False).distinct()))
-    near = _alike(docs, nodes, met.where("b IS NOT NULL").select("a", "b"), id_col, text_col)
-    # the larger of two near copies goes; what is left of large groups is compared in pairs
-    left = met.where("b IS NULL").select("key", F.col("a").alias("fp"), "n", "i").join(near.select(F.col("b").alias("fp")).distinct(), "fp", "left_anti")
-    pairs = A.checkpointed(A.compact(meetings(left, True).select("a", "b").distinct()))
-    more = _alike(docs, nodes, pairs, id_col, text_col)
-    gone = components(forest.unionByName(near).unionByName(more)).where(F.col("node") != F.col("root")).select(F.col("node").alias("fp"))
-    chosen = nodes.join(gone, "fp", "left_anti").select(F.col("doc_id").alias("_i"), F.col("mark").alias("_m"))
-    kept = docs.withColumns({"_own_": F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)), "_mark_": F.xxhash64(text_col)})
-    kept = kept.join(chosen, (F.col("_own_") == F.col("_i")) & (F.col("_mark_") == F.col("_m")), "left_semi")
-    return kept.dropDuplicates(["_own_", "_mark_"]).drop("_own_", "_mark_")
+    marked = _marked(docs, text_col, id_col)
+    known = A.checkpointed(A.compact(_described(marked)))
+    # one row for each text, by its smallest id; equal texts have equal values
+    texts = A.checkpointed(A.compact(known.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"))))
+    nodes = texts.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("low"))
+    roots = components(links(nodes).unionByName(near_texts(marked, texts, common_shingles(docs, text_col, id_col))))
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
+    chosen = A.checkpointed(A.compact(named.select("low.*")))
+    own, mark = A.unused(docs.columns, "own", "mark")
+    chosen = chosen.select(F.col("doc_id").alias(own), F.col("mark").alias(mark))
+    kept = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(A.NULL_ID)), mark: F.xxhash64(text_col)})
+    kept = kept.join(F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen, [own, mark], "left_semi")
+    # repeated rows: none mostly, and then nothing has to be dealt out
+    twice = known.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates([own, mark]) if twice else kept).select(*docs.columns)

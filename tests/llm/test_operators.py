@@ -331,14 +331,84 @@ def test_links_of_near_values_further_apart(spark):
 
 
 def near_copies(a, b):
-    """Whether a stage takes two texts for near copies."""
+    """Whether a stage links two texts: fingerprints within 3 bits, or 0.8 of the five-word shingles in common."""
     low = lambda t: words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     sets = []
     for t in (a, b):
         w = low(t)
         sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
-    bits = (brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count()
-    return bits <= 3 or bits <= 7 and len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    return (brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() <= 3 or len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+
+
+def smallest_linked(rows):
+    """The smallest id that links reach from each row (id, text), by comparing all pairs."""
+    prints, sets, root = [brute_fingerprint(t) for _, t in rows], [five_words(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    return [least[find(i)] for i in range(len(rows))]
+
+
+def test_groups_are_what_all_links_connect(spark):
+    """Chains of edits, whose ends are unlike each other, around passages that many texts share."""
+    rnd = random.Random(31)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(25):
+        w = [rnd.choice(vocab) for _ in range(rnd.randint(4, 160))]
+        passage = [rnd.choice(vocab) for _ in range(30)]
+        for _ in range(rnd.choice((1, 2, 12))):  # each the one before with a few words changed
+            w = list(w)
+            for _ in range(rnd.randint(0, max(1, len(w) // 60))):
+                w[rnd.randrange(len(w))] = rnd.choice(vocab)
+            rows.append(" ".join(w))
+            rows.append(" ".join(passage + [rnd.choice(vocab) for _ in range(rnd.randint(0, 30))]))
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = smallest_linked(rows)
+    assert len(set(want)) < len(rows) - 60
+    for parts in (1, 7):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert {r.doc_id for r in kept.collect()} == set(want)
+
+
+def test_a_text_near_a_member_only_is_linked(spark, monkeypatch):
+    """Small parts and batches: keys go on from batch to batch, and pairs of one text over several parts."""
+    monkeypatch.setattr(simhash, "SHARE", 3)
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(5000)]
+    base, rows = [rnd.choice(vocab) for _ in range(120)], []
+    for k in range(60):  # a chain along which ever more of the end is new
+        base = base[: 120 - k] + [rnd.choice(vocab) for _ in range(k % 3)] + base[120 - k + k % 3 :]
+        rows.append((k, " ".join(base)))
+    rows += [(100 + k, t) for k, (_, t) in enumerate(rows[:20])] + [(7, rows[7][1])]
+    want = smallest_linked(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(kept) == sorted(set(want))
+
+
+def test_bitmaps_bound_the_difference():
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        pool = rnd.integers(0, 1 << 63, 400).astype(np.uint64)
+        x, y = (np.unique(rnd.choice(pool, rnd.integers(0, 300))) for _ in range(2))
+        maps = simhash.bitmaps(np.r_[x, y], np.array([0, len(x), len(x) + len(y)]))
+        assert simhash.bits_apart(*maps) <= len(np.setxor1d(x, y)) and simhash.bits_apart(maps[0], maps[0]) == 0
 
 
 def test_no_near_copies_stay(spark):
