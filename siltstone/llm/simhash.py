@@ -21,6 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -117,11 +118,12 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 #: Copies as a stage removes them: shingles of so many words, so many fifths in common.
 SHINGLE, FIFTHS = 5, 4
-#: Documents in which frequent shingles are looked for, and how many of those are kept.
-SAMPLE, MOST_COMMON = 10_000, 100_000
+#: Signatures: bands of so many least values; a pair at 0.8 has no band in common once in 300,000 times.
+BANDS, VALUES = 24, 4
+_MINIMA = [int(x) | 1 for x in A.mix(np.arange(1, BANDS * VALUES + 1, dtype=A.U) * A.U(0x9E3779B97F4A7C15))]
 #: Ids up to which their table is broadcast.
 MOST_SENT = 200_000
-#: Pairs of one text that are compared in one task.
+#: Pairs of one text, and texts of one band, that are compared in one task.
 SHARE = 2000
 
 
@@ -148,10 +150,10 @@ def bitmaps(items: np.ndarray, offs: np.ndarray) -> list[bytes]:
     """For each set, one bit for each value of its items' low bits: whether an odd number of items has it.
 
     Two sets differ in at least as many items as their bitmaps differ in bits.
-    A bitmap has a power of two of bits, one to two for each item.
+    A bitmap has a power of two of bits, two to four for each item.
     """
     n = np.diff(offs).astype(np.int64)
-    size = np.maximum(8, 1 << np.ceil(np.log2(n + 1)).astype(np.int64))
+    size = np.maximum(8, 2 << np.ceil(np.log2(n + 1)).astype(np.int64))
     end = np.cumsum(size)
     row = np.repeat(np.arange(len(n)), n)
     at = (end - size)[row] + (items & (size[row] - 1).astype(A.U)).astype(np.int64)
@@ -173,43 +175,14 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return (folded(x) ^ folded(y)).bit_count()
 
 
-def common_shingles(docs: DataFrame, text_col: str, id_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample have, sorted, and how many have each.
-
-    They only set the order in which shingles are looked at; no result depends on them.
-    """
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in A.slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(b.column(0))[0].view(np.int64))], ["item"])
-
-    part = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(part)) == 0).select(F.col(text_col).alias("text"))
-    seen = sample.mapInArrow(fn, "item long").groupBy("item").count().where("count > 2").orderBy(F.desc("count")).limit(MOST_COMMON).toArrow()
-    items, counts = A.ids(seen["item"].combine_chunks()).view(A.U), A.ids(seen["count"].combine_chunks())
-    order = np.argsort(items)
-    return items[order], counts[order]
-
-
-def heads(texts: pa.Array, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first shingles of each text, rare ones first, as values and offsets; and how many there are in all.
-
-    Texts with 4 fifths of all their shingles in common share at least ceil(4 n / 5)
-    of either's n, so one of them is among the first n - ceil(4 n / 5) + 1 of both,
-    whatever the order is, if it is the same for all texts.
-    """
-    items, offs = shingle_sets(texts)
-    n = np.diff(offs).astype(np.int64)
-    row, seen = np.repeat(np.arange(len(n)), n), np.zeros(len(items), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], items), len(common[0]) - 1)
-        seen = np.where(common[0][at] == items, common[1][at], 0)
-    # items of a row are sorted already
-    order = np.argsort((row << 32) + np.minimum(seen, (1 << 32) - 1), kind="stable")
-    many = np.where(n > 0, n - (FIFTHS * n + 4) // 5 + 1, 0)
-    first = np.arange(len(items)) - offs[:-1][row] < many[row]
-    return items[order[first]], np.r_[0, np.cumsum(many)].astype(np.int32), n
+def bands(items: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """MinHash bands of each set that is not empty, as rows of ``BANDS`` keys."""
+    at = offs[:-1][np.diff(offs) > 0]
+    out = np.zeros((len(at), BANDS), A.U)
+    if len(at):
+        for j, factor in enumerate(_MINIMA):
+            out[:, j // VALUES] += A.mix(np.minimum.reduceat(items * A.U(factor), at) + A.U(j + 1))
+    return A.mix(out)
 
 
 def _marked(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -218,133 +191,69 @@ def _marked(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def _described(marked: DataFrame) -> DataFrame:
-    """(doc_id, mark, fp, n, bits): fingerprint, number of shingles and their bitmap."""
+    """(doc_id, mark, fp, n, bits, keys): fingerprint, number of shingles, their bitmap and bands."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in A.slices(whole, "text"):
                 items, offs = shingle_sets(b.column(2))
-                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(text_fingerprints(b.column(2)).view(np.int64)), pa.array(np.diff(offs)), pa.array(bitmaps(items, offs), pa.binary())], ["doc_id", "mark", "fp", "n", "bits"])
+                ends = np.r_[0, np.cumsum(np.where(np.diff(offs) > 0, BANDS, 0))].astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(items, offs).view(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(text_fingerprints(b.column(2)).view(np.int64)), pa.array(np.diff(offs)), pa.array(bitmaps(items, offs), pa.binary()), keys], ["doc_id", "mark", "fp", "n", "bits", "keys"])
 
-    return marked.mapInArrow(fn, "doc_id long, mark long, fp long, n int, bits binary")
+    return marked.mapInArrow(fn, "doc_id long, mark long, fp long, n int, bits binary, keys array<long>")
 
 
-def _head_rows(marked: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, mark, n, i): the first shingles of each text and their places; of equal texts of a slice, the first one's."""
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in A.slices(whole, "text"):
-                mark = A.ids(b.column(0))
-                pick = np.sort(np.unique(mark, return_index=True)[1])
-                items, offs, n = heads(b.column(1).take(pa.array(pick)), common)
-                row = A.rows_of(offs)
-                cols = [items.view(np.int64), mark[pick][row], n[row].astype(np.int32), (np.arange(len(row)) - offs[:-1][row]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "mark", "n", "i"])
-
-    return marked.select("mark", "text").mapInArrow(fn, "key long, mark long, n int, i int")
+def first_meetings(texts: DataFrame) -> DataFrame:
+    """(key, a, b): each text b of a band with one text a of it, another one in each band; keys of one text have none."""
+    rows = texts.select(F.explode("keys").alias("key"), F.col("mark").alias("b"))
+    in_turn = W.partitionBy("key").orderBy(F.xxhash64("key", "b"), "b")
+    return rows.select("key", F.first("b").over(in_turn).alias("a"), "b").where(F.col("a") != F.col("b"))
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition(A.buckets(rows.sparkSession), "key").sortWithinPartitions("key", "mark")
+def _compared(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Pairs of rows (n, mark, root, part, bits) that can be near copies and have other roots, between two parts or within one."""
+    rows.sort()
+    both = len({r[3] for r in rows}) > 1
+    for x, (n, a, root, part, bits) in enumerate(rows):
+        for m, b, other, its, more in rows[x + 1 :]:
+            if 5 * n < FIFTHS * m:
+                break
+            if root != other and (part != its or not both) and 9 * bits_apart(bits, more) <= n + m:
+                yield min(a, b), max(a, b)
 
 
-def first_meetings(rows: DataFrame) -> DataFrame:
-    """(a, b, key, n, i, more): each text b of a key with the first text a of that key.
+def other_meetings(met: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of one band that nothing connects so far, if their bitmaps let them be near copies.
 
-    ``n`` and ``i`` are those of b; ``more`` says that the key has other texts besides.
-    Rows pass in order and only the first of the open key is held, so a key of any
-    size takes no memory.
+    A band of more than ``SHARE`` texts is cut into parts, and each two of them meet in a task.
     """
-    names = ["a", "b", "key", "n", "i", "more"]
+    at = met.select("key", F.col("b").alias("mark")).unionByName(met.select("key", F.col("a").alias("mark")).distinct())
+    rooted = texts.select("mark", "fp", "n", "bits").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("mark", "n", "bits", F.coalesce("root", "fp").alias("root"))
+    rows = at.join(rooted.select("mark", "root"), "mark")
+    split = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    split = A.checkpointed(A.compact(split.where("low != high").select("key", F.ceil(F.col("size") / SHARE).cast("int").alias("ways"))))
+    rows = rows.join(F.broadcast(split) if split.count() <= MOST_SENT else split, "key").select("key", "mark", "root", "ways", F.pmod(F.xxhash64("mark"), "ways").cast("int").alias("part"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    rows = rows.select("key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "mark", "root", "part").join(texts.select("mark", "n", "bits"), "mark")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the open key: its first text and the last one seen, once it has three; up to two rows otherwise
-        head = last = None
-        rest = [np.zeros(0, np.int64)] * 4
-
-        def split(cols: list[np.ndarray], final: bool) -> pa.RecordBatch | None:
-            nonlocal head, last, rest
-            new = A.group_starts(cols[0], cols[1])
-            if len(new) and head is not None and (cols[0][0], cols[1][0]) == last:
-                new[0] = False
-            cols = [c[new] for c in cols]
-            key, mark, n, i = cols
-            if not len(key):
-                return None
-            goes_on = head is not None and head[0] == key[0]
-            begin = np.flatnonzero(A.group_starts(key))
-            size = np.diff(np.r_[begin, len(key)])
-            hub, many = np.repeat(mark[begin], size), np.repeat(size, size)
-            out = np.ones(len(key), bool)
-            out[begin] = False
-            if goes_on:
-                hub[: size[0]], many[: size[0]], out[0] = head[1], 3, True
-            rest, tail = [c[:0] for c in cols], begin[-1]
-            if not final:
-                if many[-1] < 3:  # may still grow
-                    rest, out[tail:] = [c[tail:] for c in cols], False
-                    head = last = None
-                else:
-                    head, last = (key[-1], hub[-1]), (key[-1], mark[-1])
-            return pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (hub, mark, key, n.astype(np.int32), i.astype(np.int32), many > 2)], names)
-
-        for b in batches:
-            got = split([np.concatenate([r, A.ids(c)]) for r, c in zip(rest, b.columns)], False)
-            if got is not None:
-                yield got
-        got = split(rest, True)
-        if got is not None:
-            yield got
-
-    return _grouped(rows).select("key", "mark", "n", "i").mapInArrow(fn, "a long, b long, key long, n int, i int, more boolean")
-
-
-MEMBER, BESIDE, FAR = 0, 1, 2
-
+        cell, rows = None, []
 
-def _pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sorted rows (key, mark, n, i, state) with one key that can be near copies; of members, only with those beside."""
-    key, mark, n, i, state = cols
-    begin = np.flatnonzero(A.group_starts(key))
-    size = np.diff(np.r_[begin, len(key)])
-    end = np.repeat(begin + size, size)
-    at, step = np.arange(len(key)), 1
-    while len(at := at[at + step < end[at]]):
-        x, y = at, at + step
-        step += 1
-        # shared shingles are at most this one and what follows it on either side, if it is the first shared one
-        most = np.minimum(n[x] - i[x], n[y] - i[y])
-        fits = (9 * most >= FIFTHS * (n[x] + n[y])) & (mark[x] != mark[y])
-        low, high = np.minimum(state[x], state[y]), np.maximum(state[x], state[y])
-        fits &= (low > MEMBER) | (high == BESIDE)
-        if fits.any():
-            yield pa.RecordBatch.from_arrays([pa.array(mark[x[fits]]), pa.array(mark[y[fits]])], ["a", "b"])
+        def pairs() -> pa.RecordBatch:
+            got = list(_compared(rows))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+        for batch in batches:
+            for r in zip(*[c.to_pylist() for c in batch.columns]):
+                if r[:3] != cell:
+                    yield pairs()
+                    cell, rows = r[:3], []
+                rows.append(r[3:])
+        yield pairs()
 
-def other_meetings(rows: DataFrame) -> DataFrame:
-    """The pairs (a, b), a < b, of ``_pairs`` over rows (key, mark, n, i, state)."""
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, size = [], 0
-
-        def joined() -> list[np.ndarray]:
-            return [np.concatenate([A.ids(b.column(k)) for b in rest]) if rest else np.zeros(0, np.int64) for k in range(5)]
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rest, size = [*rest, b], size + b.num_rows
-            keys = A.ids(b.column(0))
-            # the last key may go on in the next batch
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut or A.ids(rest[0].column(0))[0] != keys[-1]:
-                cols, upto = joined(), size - b.num_rows + cut
-                yield from _pairs([c[:upto] for c in cols])
-                rest, size = [b.slice(cut)], b.num_rows - cut
-        yield from _pairs(joined())
-
-    return _grouped(rows).select("key", "mark", "n", "i", "state").mapInArrow(fn, "a long, b long").distinct()
+    dealt = rows.select("key", "i", "j", "n", "mark", "root", "part", "bits").repartition(A.buckets(texts.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(fn, "a long, b long").distinct()
 
 
 def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -357,20 +266,20 @@ def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _weighed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, fa, fb, near) of the pairs whose bitmaps leave 0.6 of their shingles in common possible; ``near``: 0.8."""
+    """The pairs (a, b) whose bitmaps leave 0.8 of their shingles in common possible."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = A.ids(b.column(4)) + A.ids(b.column(5))
-            apart = np.fromiter(map(bits_apart, b.column(6).to_pylist(), b.column(7).to_pylist()), np.int64, b.num_rows)
-            # of n items in all, at most n / 9 (n / 4) are on one side only
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(9 * apart <= n)], ["a", "b", "fa", "fb", "near"]).filter(pa.array(4 * apart <= n))
+            n = A.ids(b.column(2)) + A.ids(b.column(3))
+            apart = np.fromiter(map(bits_apart, b.column(4).to_pylist(), b.column(5).to_pylist()), np.int64, b.num_rows)
+            # of n items in all, at most n / 9 are on one side only
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(9 * apart <= n))
 
     dealt, parts = _dealt(pairs)
-    left = texts.select(F.col("mark").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("bits").alias("xa")).join(parts, "a")
-    right = texts.select(F.col("mark").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    both = dealt.join(right, "b").join(left, ["a", "part"]).where((5 * F.col("na") >= 3 * F.col("nb")) & (5 * F.col("nb") >= 3 * F.col("na")))
-    return both.select("a", "b", "fa", "fb", "na", "nb", "xa", "xb").mapInArrow(fn, "a long, b long, fa long, fb long, near boolean")
+    left = texts.select(F.col("mark").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")).join(parts, "a")
+    right = texts.select(F.col("mark").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    both = dealt.join(right, "b").join(left, ["a", "part"]).where((5 * F.col("na") >= FIFTHS * F.col("nb")) & (5 * F.col("nb") >= FIFTHS * F.col("na")))
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(fn, "a long, b long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -420,26 +329,20 @@ def _alike(marked: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return A.checkpointed(A.compact(sent.mapInArrow(fn, "a long, b long").distinct()))
 
 
-def near_texts(marked: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Links (a, b) of fingerprints that connect all texts with 4 fifths of their shingles in common.
+def connected(marked: DataFrame, texts: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, root) of fingerprints that ``near`` and texts with 4 fifths of their shingles in common connect.
 
-    Texts meet by their first shingles.  Each is compared with the first text of
-    the shingle: near copies of that one are its members.  A text that is near a
-    member has at least 0.6 in common with the first one, since one minus the share
-    is a metric; so members are compared only with those that may have that, and
-    all others with each other.
+    Texts of one band are first compared with one of them.  Only what is not
+    connected then is compared with each other.
     """
-    met = A.checkpointed(A.compact(first_meetings(_head_rows(marked, common))))
+    prints = texts.select("mark", "fp")
+    named = lambda found: found.join(prints.select(F.col("mark").alias("a"), F.col("fp").alias("fa")), "a").join(prints.select(F.col("mark").alias("b"), F.col("fp").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    met = A.checkpointed(A.compact(first_meetings(texts)))
     first = A.checkpointed(A.compact(_weighed(met.select("a", "b").distinct(), texts)))
-    near = _alike(marked, texts, first.where("near").select("a", "b"))
-    state = first.select("a", "b").join(near.withColumn("member", F.lit(MEMBER)), ["a", "b"], "left").select("a", "b", F.coalesce("member", F.lit(BESIDE)).alias("state"))
-    rows = met.where("more").join(state, ["a", "b"], "left").select("key", F.col("b").alias("mark"), "n", "i", F.coalesce("state", F.lit(FAR)).alias("state"))
-    beside = rows.where(F.col("state") == BESIDE).select("key").distinct()
-    rows = rows.where(F.col("state") != MEMBER).unionByName(rows.where(F.col("state") == MEMBER).join(beside, "key", "left_semi"))
-    second = A.checkpointed(A.compact(_weighed(other_meetings(rows), texts).where("near")))
-    more = _alike(marked, texts, second.select("a", "b"))
-    named = lambda found, of: found.join(of.select("a", "b", "fa", "fb"), ["a", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    return named(near, first).unionByName(named(more, second))
+    roots = components(near.unionByName(named(_alike(marked, texts, first))))
+    second = A.checkpointed(A.compact(other_meetings(met, texts, roots)))
+    more = _alike(marked, texts, second)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(named(more)))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -447,15 +350,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     Two texts are linked if their fingerprints are within 3 bits or they have at
     least 0.8 of their five-word shingles in common, however far their fingerprints
-    are apart (``near_texts``).  Of each group that links connect, the row with the
+    are apart (``connected``).  Of each group that links connect, the row with the
     smallest id stays; of rows with equal id and text, one stays.
     """
     marked = _marked(docs, text_col, id_col)
     known = A.checkpointed(A.compact(_described(marked)))
     # one row for each text, by its smallest id; equal texts have equal values
-    texts = A.checkpointed(A.compact(known.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"))))
+    texts = A.checkpointed(A.compact(known.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "n", "bits", "keys")])))
     nodes = texts.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("low"))
-    roots = components(links(nodes).unionByName(near_texts(marked, texts, common_shingles(docs, text_col, id_col))))
+    roots = connected(marked, texts, links(nodes))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
     chosen = A.checkpointed(A.compact(named.select("low.*")))
     own, mark = A.unused(docs.columns, "own", "mark")
