@@ -40,6 +40,10 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+#: Rules up to which their table is broadcast.
+MOST_SENT = 50_000
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Judges each row of ``pages`` by ``rules`` (host, path, verdict).
 
@@ -54,21 +58,36 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
         .where(F.col("_rh").isNotNull() & F.col("_rp").isNotNull() & F.col("_rv").isNotNull())
         .withColumn("_rule", F.concat("_rh", "_rp"))
         .withColumn("_rd", F.sha2("_rule", 256))
-        .withColumn("_r8", F.substring("_rd", 1, 8))
+        .withColumn("_r8", short("_rd"))
     )
-    lengths = sorted(r[0] for r in known.select(F.length("_rp")).distinct().collect())
+    lengths = {r[0]: r[1] for r in known.groupBy(F.length("_rp")).count().collect()}
+    if sum(lengths.values()) <= MOST_SENT:
+        known = F.broadcast(known)
     judged = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).withColumn("_host", url_host(F.col("_url"))).withColumn("_path", url_path(F.col("_url")))
-    wanted = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_path")) if lengths else F.expr("cast(array() as array<int>)")
+    wanted = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("_path")) if lengths else F.expr("cast(array() as array<int>)")
+    # equal URLs have equal verdicts: terms carry 128 bits of the URL's digest
+    row = F.substring(F.sha2("_url", 256), 1, 32)
     terms = (
         judged.where(F.col("_host") != "")
-        .select("_url", "_path", F.explode(host_suffixes(F.col("_host"))).alias("_suffix"))
-        .select("_url", "_suffix", F.explode(F.transform(wanted, lambda n: F.col("_path").substr(F.lit(1), n))).alias("_prefix"))
-        .withColumn("_d", F.sha2(F.concat("_suffix", "_prefix"), 256))
-        .withColumn("_d8", F.substring("_d", 1, 8))
+        .select(row.alias("_row"), "_path", F.explode(host_suffixes(F.col("_host"))).alias("_suffix"))
+        .select("_row", "_suffix", F.explode(F.transform(wanted, lambda n: F.col("_path").substr(F.lit(1), n))).alias("_prefix"))
+        .select("_row", F.sha2(F.concat("_suffix", "_prefix"), 256).alias("_d"))
+        .withColumn("_d8", short("_d"))
     )
-    hits = terms.join(known, (F.col("_d8") == F.col("_r8")) & (F.col("_d") == F.col("_rd")), "inner")
+    # the short prefixes meet; then whole digests are compared
+    hits = terms.join(known, F.col("_d8") == F.col("_r8"), "inner").where(agree("_d", "_rd"))
     rank = F.struct(F.length("_rule").alias("a"), F.length("_rh").alias("b"), F.col("_rule").alias("rule"), F.col("_rv").alias("verdict"))
-    best = hits.groupBy(F.col("_url").alias("_u")).agg(F.max(rank).alias("_best"))
-    return judged.join(best, F.col("_url") == F.col("_u"), "left").select(
+    best = hits.groupBy(F.col("_row").alias("_u")).agg(F.max(rank).alias("_best"))
+    return judged.join(best, row == F.col("_u"), "left").select(
         F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict")
     )
+
+
+def short(digest: str) -> Column:
+    """The first 32 bits of a digest, as a number."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def agree(a: str, b: str) -> Column:
+    """Whole digests, all of one length, are equal; said so that this is no key of the join."""
+    return F.startswith(F.col(a), F.col(b))
