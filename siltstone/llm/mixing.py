@@ -1,10 +1,11 @@
 """Mixing sources to target weights by systematic sampling.
 
 Sizes of sources are summed, targets are found by filling the weights up to
-each source's limit, and every document's expected number of copies is its
-source's target over its source's size.  Within a source the expected copies are
-summed in an order by size, one offset is added, and a document is emitted once
-for each whole number that its stretch of the sum crosses.
+each source's limit, and a document's expected number of copies is its source's
+target over its source's size (see ``mix_sources`` for small documents).  Within a
+source the expected copies are summed in an order by size, one random offset is
+added, and a document is emitted once for each whole number that its stretch of
+the sum crosses.
 
 Positions come from ``ranked``, so no task holds a source.  The summary has one
 row per source.
@@ -77,23 +78,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], limit: int) -> DataFra
     return t.withColumn("target", F.least(F.col("_cap").cast("double"), level * F.col("_w"))).select("source", "source_size", "target")
 
 
-def copies_at(u: Column, rate: Column, rank: Column) -> Column:
+def copies_at(u: Column, rate: Column, rank: Column, limit: int) -> Column:
     """Whole numbers that the document's stretch of the sum crosses."""
-    return (F.floor(u + rate * rank) - F.floor(u + rate * (rank - 1))).cast("long")
+    return F.least(F.floor(u + rate * rank) - F.floor(u + rate * (rank - 1)), F.lit(limit)).cast("long")
 
 
-def turned(u: Column, k: int, tries: int) -> Column:
-    """The offset moved on by k of ``tries`` equal steps, within [0, 1)."""
-    moved = u + F.lit(k / tries)
-    return moved - F.floor(moved)
-
-
-def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: int = 3, seed: int = 20240, tries: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: int = 3, seed: int = 20240, share: float = 50.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Returns doc_id, size, source, source_size, target, copies, taken, and the columns named in ``carry``.
 
-    A source's random offset and its ``tries`` - 1 turns are weighed over all its
-    documents, and the one whose taken words come nearest the target is used:
-    with few documents a single large one would decide otherwise.
+    Documents larger than the target's 1/``share`` are a stratum of their own: all
+    expect target over size copies.  The others expect what then brings the source
+    to its target, so that one large document more or less is made up for.  Both
+    strata are sampled with the source's one random offset.
     """
     # several passes over ids and sizes; the texts are read once for these, and once more if carried
     narrow = A.checkpointed(A.compact(sized(docs, id_col, text_col, source_col, ()))).withColumn("_band", size_band(F.col("size")))
@@ -103,17 +99,21 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     # one row for each source: sent to all tasks if there are not too many, else joined by shuffles
     small = named.count() <= MOST_SENT
     sent = lambda df: F.broadcast(df) if small else df
-    place = lambda df: ranked(df, ["source"], ["_band"], F.col("doc_id"), ["size", "doc_id"], counted=narrow)
-    numbered = A.checkpointed(A.compact(place(narrow)))
-    d = numbered.join(sent(named), F.col("source").eqNullSafe(F.col("_s")), "inner")
-    words = [F.sum(copies_at(turned(F.col("_u"), k, tries), F.col("_rate"), F.col("rank")) * F.col("size")).alias(f"_w{k}") for k in range(tries)]
-    weighed = d.groupBy("_s").agg(F.first("target").alias("_t"), F.first("_u").alias("_v"), *words)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_w{k}") - F.col("_t")).alias("e"), F.lit(k).alias("k"), turned(F.col("_v"), k, tries).alias("u")) for k in range(tries)]))
-    chosen = weighed.select(F.col("_s").alias("_c"), best["u"].alias("_best"))
+
+    def placed(df: DataFrame, counted: DataFrame | None) -> DataFrame:
+        return ranked(df, ["source", "_large"], ["_band"], F.col("doc_id"), ["size", "doc_id"], counted=counted)
+
+    def strata(df: DataFrame) -> DataFrame:
+        return df.join(sent(named), F.col("source").eqNullSafe(F.col("_s")), "inner").withColumn("_large", F.col("size") > F.col("target") / F.lit(share))
+
+    d = A.checkpointed(A.compact(placed(strata(narrow), None)))
+    first = copies_at(F.col("_u"), F.col("_rate"), F.col("rank"), limit)
+    sums = d.groupBy("_s").agg(F.first("target").alias("_t"), F.coalesce(F.sum(F.when(F.col("_large"), first * F.col("size"))), F.lit(0)).alias("_taken"), F.coalesce(F.sum(F.when(~F.col("_large"), F.col("size"))), F.lit(0)).alias("_left"))
+    rest = F.when(F.col("_left") > 0, F.least(F.greatest((F.col("_t") - F.col("_taken")) / F.col("_left"), F.lit(0.0)), F.lit(float(limit)))).otherwise(F.lit(0.0))
+    rests = sums.select(F.col("_s").alias("_c"), rest.alias("_rest"))
     if carry:
-        wide = place(sized(docs, id_col, text_col, source_col, carry).withColumn("_band", size_band(F.col("size"))))
-        d = wide.join(sent(named), F.col("source").eqNullSafe(F.col("_s")), "inner")
-    d = d.join(sent(chosen), F.col("source").eqNullSafe(F.col("_c")), "inner").withColumn("copies", copies_at(F.col("_best"), F.col("_rate"), F.col("rank")))
+        d = placed(strata(sized(docs, id_col, text_col, source_col, carry).withColumn("_band", size_band(F.col("size")))), strata(narrow))
+    d = d.join(sent(rests), F.col("source").eqNullSafe(F.col("_c")), "inner").withColumn("copies", F.when(F.col("_large"), first).otherwise(copies_at(F.col("_u"), F.col("_rest"), F.col("rank"), limit)))
     out = d.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_k_{c}" for c in carry])
     return out if carry else A.compact(out)
 
