@@ -1,7 +1,8 @@
 """Order MinHash fingerprints, as DataFrame expressions only.
 
-A text's words are cut into k-mers of five words; a k-mer that occurs again in
-the text is numbered, so repetitions count.  Hashes fall into 64 bins by their
+A text's words are cut into k-mers of five words (five characters where there are
+fewer words than that, or hardly any blanks); a k-mer that occurs again in the text
+is numbered, so repetitions count.  Hashes fall into 64 bins by their
 leading bits, and each bin keeps its two smallest.  The two stand in the order
 of the text and are hashed together, so a fingerprint depends on which k-mers a
 text has, how often, and in what order: texts with a small edit distance agree
@@ -10,7 +11,7 @@ in most bins.
 Documents are chained to the next id by buckets of ids between approximate
 quantiles; only the first document of each bucket is looked up elsewhere.
 
-Defined results: a null text is empty; a text of fewer than five words is one
+Defined results: a null text is empty; a text of fewer than five characters is one
 k-mer; texts without words have an empty fingerprint and are fully alike; null
 ids come last; rows with equal ids follow each other by their texts; a single
 document is its own next one; an empty table gives an empty result; other
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .arrays import buckets
 
 K = 5
+LONG = 40  # characters for each word from which characters are counted instead
 PLACE_BITS = 26  # of a word's position; hashes have the rest
 BIN_BITS = 6
 _PLACE = (1 << PLACE_BITS) - 1
@@ -47,8 +49,9 @@ def signature(text: str) -> Column:
     """The bins' tuple hashes of a string expression, by bin: (bin << 26 | hash), at most 64."""
     # a blank end leaves an empty last word
     words = _let("ws", _words(text), "if(size(ws) > 0 and ws[size(ws) - 1] = '', slice(ws, 1, size(ws) - 1), ws)")
-    kmers = _let("e", "transform(w, x -> xxhash64(x))", f"transform(sequence(0, size(e) - {K}), i -> xxhash64({', '.join(f'e[i + {j}]' for j in range(K))}))")
-    hashes = f"if(size(w) = 0, cast(array() as array<bigint>), if(size(w) < {K}, array(xxhash64(w)), {kmers}))"
+    units = f"if(size(w) >= {K} and length({text}) <= {LONG} * size(w), w, split(array_join(w, ' '), ''))"
+    kmers = _let("e", "transform(u, x -> xxhash64(x))", f"transform(sequence(0, size(e) - {K}), i -> xxhash64({', '.join(f'e[i + {j}]' for j in range(K))}))")
+    hashes = f"if(size(w) = 0, cast(array() as array<bigint>), if(size(u) < {K}, array(xxhash64(u)), {kmers}))"
     plain = f"transform(h, (x, i) -> (x & {_HASH}L) | (i & {_PLACE}L))"
     # sorted by hash and place: an occurrence's number is its distance from the run's start
     high = lambda x: f"shiftrightunsigned({x}, {PLACE_BITS})"
@@ -64,7 +67,7 @@ def signature(text: str) -> Column:
     pair = f"if({after} is null or {bin_of(after)} != {bin_of('x')}, xxhash64({high('x')}), if((x & {_PLACE}L) < ({after} & {_PLACE}L), xxhash64({high('x')}, {high(after)}), xxhash64({high(after)}, {high('x')})))"
     entry = f"if(i > 0 and {bin_of('get(p, i - 1)')} = {bin_of('x')}, null, shiftleft({bin_of('x')}, {PLACE_BITS}) | ({pair} & {_PLACE}L))"
     tuples = f"filter(transform(p, (x, i) -> {entry}), y -> y is not null)"
-    return F.expr(_let("w", words, _let("h", hashes, _let("s", f"sort_array({each})", _let("p", least, tuples)))))
+    return F.expr(_let("w", words, _let("u", units, _let("h", hashes, _let("s", f"sort_array({each})", _let("p", least, tuples))))))
 
 
 def likeness(a: str, b: str) -> Column:
