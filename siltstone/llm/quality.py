@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence.
 
 Each document has a histogram of character classes and one of common words.
-The references of a language are the sums of these histograms over all its
-documents that pass the base rules.  A document fails when either histogram is
+A language's common words are its most frequent ones, counted over all documents.
+Its references are the sums of the histograms over all its documents that pass the
+base rules.  A document fails when either histogram is
 further from its language's reference, by Jensen-Shannon distance (base 2, 0 to
 1), than a limit; documents with few words, and languages whose reference holds
 few words, are not judged by it.
@@ -19,20 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays as A
 
-# fixed values: frequent function words of English, German, French and Spanish
-COMMON = sorted(
-    set(
-        """the of and to in a is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an
-        der die und das von zu mit sich auf für ist im dem nicht ein eine als auch es werden aus er hat dass sie nach bei um den des einer einem
-        de la le les et des est en un une du que dans qui par pour au il sur pas plus se ne ce avec sont mais ou elle
-        el los del y se las por con no su para al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre""".split()
-    )
-)
+#: Words of a language that count as common: its most frequent ones.
+COMMON = 30
+#: Languages up to which their table is broadcast.
+MOST_SENT = 2000
 SYMBOLS = b"#*$%&|<>"
 PUNCTUATION = b".,;:!?'\"()-"
 CLASSES = ("lower", "upper", "digit", "white", "punctuation", "symbol", "wide")
@@ -49,13 +46,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _vocabulary() -> tuple[np.ndarray, np.ndarray]:
-    data, offs = A.text_bytes(pa.array(COMMON))
-    h = A.span_hashes(data, offs[:-1], offs[1:])
-    order = np.argsort(h)
-    return h[order], order
-
-
 def _totals(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
@@ -73,8 +63,45 @@ def _repeats(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, shared
 
 
-def measure(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Counts of each text, and its histograms of classes and of common words (the last column: others)."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of lower-cased runs of letters and digits, and the first one of each text (n + 1 values)."""
+    data, offs = A.text_bytes(texts)
+    low = _LOWER[data]
+    s, e, first = A.spans(low, offs, _TOKEN)
+    return A.span_hashes(low, s, e), first
+
+
+def lang_codes(lang: pa.Array) -> tuple[list, np.ndarray]:
+    """The languages of a slice, null last, and each row's place in them."""
+    coded = lang.dictionary_encode()
+    return [*coded.dictionary.to_pylist(), None], np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+
+
+def common_words(docs: DataFrame, most: int = COMMON) -> DataFrame:
+    """(lang, words): hashes of each language's most frequent tokens over all documents, the most frequent first."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in A.slices(whole, "text"):
+                names, code = lang_codes(batch.column(0))
+                h, first = tokens(batch.column(1))
+                of = code[A.rows_of(first)]
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                begin = np.flatnonzero(A.group_starts(of, h)) if len(h) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(of[begin])), pa.array(h[begin].view(np.int64)), pa.array(np.diff(np.r_[begin, len(h)]))], ["lang", "token", "n"])
+
+    seen = docs.select("lang", "text").mapInArrow(fn, "lang string, token long, n long").groupBy("lang", "token").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "token"))
+    top = seen.withColumn("at", place).where(F.col("at") <= most)
+    return top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("words"))
+
+
+def measure(texts: pa.Array, code: np.ndarray, common: list[np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Counts of each text, and its histograms of classes and of the common words of its language (the last column: others).
+
+    ``common`` has the words of each language, ``code`` the language of each text.
+    """
     data, offs = A.text_bytes(texts)
     n = len(offs) - 1
     start, end, first = A.spans(data, offs)
@@ -101,13 +128,16 @@ def measure(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
     out["n_repeat_words"] = np.bincount(row[covered[: len(row)]], minlength=n)
     byte_row = np.repeat(np.arange(n), np.diff(offs))
     classes = np.bincount(byte_row[point] * len(CLASSES) + _CLASS[data[point]], minlength=n * len(CLASSES)).reshape(n, -1)
-    low = _LOWER[data]
-    s, e, f = A.spans(low, offs, _TOKEN)
-    known, number = _vocabulary()
-    th = A.span_hashes(low, s, e)
-    k = np.minimum(np.searchsorted(known, th), len(known) - 1)
-    word = np.where(known[k] == th, number[k], len(COMMON))
-    words = np.bincount(A.rows_of(f) * (len(COMMON) + 1) + word, minlength=n * (len(COMMON) + 1)).reshape(n, -1)
+    th, f = tokens(texts)
+    of, width = A.rows_of(f), COMMON + 1
+    word = np.full(len(th), COMMON)
+    for c, known in enumerate(common):
+        if len(known):
+            order = np.argsort(known)
+            mine = np.flatnonzero(code[of] == c)
+            k = order[np.minimum(np.searchsorted(known, th[mine], sorter=order), len(known) - 1)]
+            word[mine] = np.where(known[k] == th[mine], k, COMMON)
+    words = np.bincount(of * width + word, minlength=n * width).reshape(n, -1)
     return out, classes, words
 
 
@@ -126,28 +156,27 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _lists(a: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.reshape(-1)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.astype(np.int32).reshape(-1)))
 
 
-def references(docs: DataFrame) -> DataFrame:
+def _wide(col: pa.Array, n: int) -> np.ndarray:
+    return np.asarray(col.fill_null([0] * n).flatten()).reshape(-1, n)
+
+
+def references(measured: DataFrame) -> DataFrame:
     """One row for each language: (lang, classes, words), summed over documents that pass the base rules."""
+    c, n = len(CLASSES), len(CLASSES) + COMMON + 1
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in A.slices(whole, "text"):
-                m, classes, words = measure(batch.column(1))
-                good = ~base_failed(m)
-                lang = batch.column(0).dictionary_encode()
-                code = np.asarray(lang.indices.fill_null(-1))
-                names = [*lang.dictionary.to_pylist(), None]
-                seen = np.unique(code[good])
-                both = np.hstack([classes, words])
-                sums = [both[good & (code == c)].sum(0) for c in seen]
-                rows = [(names[c], i, int(v)) for c, s in zip(seen, sums) for i, v in enumerate(s) if v]
+        for batch in batches:
+            if batch.num_rows:
+                names, code = lang_codes(batch.column(0))
+                both = np.hstack([_wide(batch.column(1), c), _wide(batch.column(2), n - c)]).astype(np.int64)
+                rows = [(names[k], i, int(v)) for k in np.unique(code) for i, v in enumerate(both[code == k].sum(0)) if v]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "i", "v"])
 
-    n, c = len(CLASSES) + len(COMMON) + 1, len(CLASSES)
-    long = docs.mapInArrow(fn, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    good = measured.where(~F.col("base_failed")).select("lang", "classes", "words")
+    long = good.mapInArrow(fn, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     # at most n entries for each language
     whole = long.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
     value = lambda k: F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0))
@@ -160,29 +189,38 @@ def judge(docs: DataFrame, *, class_limit: float = 0.25, word_limit: float = 0.1
     The limit of the word distance is ``word_limit`` plus ``word_slack`` over the
     root of the number of words: that far a text of few words strays by chance.
     """
-    d = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in A.slices(whole, "text"):
-                m, classes, words = measure(batch.column(1))
+                names, code = lang_codes(batch.column(0))
+                common: list[np.ndarray] = [np.zeros(0, A.U)] * len(names)
+                for k, i in zip(*np.unique(code, return_index=True)):
+                    common[k] = np.array(batch.column(3)[int(i)].as_py() or [], np.int64).view(A.U)
+                m, classes, words = measure(batch.column(1), code, common)
                 yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), *[pa.array(m[c].astype(np.int64)) for c in counts], pa.array(base_failed(m)), _lists(classes), _lists(words)], ["doc_id", "lang", *counts, "base_failed", "classes", "words"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = lambda col, n: np.asarray(col.fill_null([0] * n).flatten()).reshape(-1, n)
         for b in batches:
             if not b.num_rows:
                 continue
-            c, w = len(CLASSES), len(COMMON) + 1
+            c, w = len(CLASSES), COMMON + 1
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            d1, d2 = distance(wide(cols["classes"], c), wide(cols["rc"], c)), distance(wide(cols["words"], w), wide(cols["rw"], w))
+            d1, d2 = distance(_wide(cols["classes"], c), _wide(cols["rc"], c)), distance(_wide(cols["words"], w), _wide(cols["rw"], w))
             failed, n_words = np.asarray(cols["base_failed"].fill_null(True)), np.asarray(cols["n_words"])
-            far = ((d1 > class_limit) | (d2 > word_limit + word_slack / np.sqrt(np.maximum(n_words, 1)))) & (n_words >= least_words) & (wide(cols["rw"], w).sum(1) >= least_reference)
+            far = ((d1 > class_limit) | (d2 > word_limit + word_slack / np.sqrt(np.maximum(n_words, 1)))) & (n_words >= least_words) & (_wide(cols["rw"], w).sum(1) >= least_reference)
             yield pa.RecordBatch.from_arrays([cols["doc_id"], *[cols[x] for x in counts], cols["base_failed"], pa.array(d1), pa.array(d2), pa.array(~failed & ~far)], ["doc_id", *counts, "base_failed", "class_distance", "word_distance", "kept"])
 
+    def by_lang(df: DataFrame, one: DataFrame, *cols: Column) -> DataFrame:
+        """``df`` with columns of one row for each language, sent to all tasks if there are not too many."""
+        one = A.checkpointed(A.compact(one.select(F.col("lang").alias("_l"), *cols)))
+        return df.join(F.broadcast(one) if one.count() <= MOST_SENT else one, F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")
+
     types = "".join(f"{c} long, " for c in counts)
-    measured = d.mapInArrow(fn, f"doc_id long, lang string, {types} base_failed boolean, classes array<long>, words array<long>")
-    refs = references(d).select(F.col("lang").alias("_l"), F.col("classes").alias("rc"), F.col("words").alias("rw"))
-    both = measured.join(refs, F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l", "lang")
+    told = by_lang(d, common_words(d), F.col("words").alias("common"))
+    measured = told.mapInArrow(fn, f"doc_id long, lang string, {types} base_failed boolean, classes array<int>, words array<int>")
+    measured = A.checkpointed(measured)
+    both = by_lang(measured, references(measured), F.col("classes").alias("rc"), F.col("words").alias("rw")).drop("lang")
     return both.mapInArrow(compare, f"doc_id long, {types} base_failed boolean, class_distance double, word_distance double, kept boolean")
