@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -76,10 +77,13 @@ def visible(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: the session's, or one of our own where none is set (local sessions)."""
+    """The folder of checkpoints: the session's; a temporary one only where all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
     return sc.getCheckpointDir()
 
 
@@ -88,11 +92,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet in the shared folder, and read again."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Written as Parquet in the shared folder, and read again; with the path, for ``dropped``."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """A stored table that nothing reads any more is deleted."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def buckets(spark: SparkSession, at_least: int = 8) -> int:
@@ -100,9 +110,22 @@ def buckets(spark: SparkSession, at_least: int = 8) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of text in a part that a task holds whole.
+PART_BYTES = 64 << 20
+
+
+def parts_for(docs: DataFrame, text_col: str) -> int:
+    """Parts of at most about ``PART_BYTES`` of text, and no fewer than ``buckets``."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(buckets(docs.sparkSession), -(-size // PART_BYTES))
+
+
 def compact(df: DataFrame) -> DataFrame:
-    """One partition for each core: narrow results in few files, whatever dealt them out before."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Narrow results in few files, whatever dealt them out before: a partition for each core.
+
+    Where cores are still to come (dynamic allocation), the shuffle partitions tell the size of the job.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, buckets(df.sparkSession) // 32))
 
 
 def unused(columns: list[str], *names: str) -> list[str]:

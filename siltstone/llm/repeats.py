@@ -7,7 +7,10 @@ as arrays: (bucket, kind, data), with ``encode``d columns in ``data``.
 
 Each slice first settles what it can by itself and sends one row for a key that
 it holds more than once, so a key that fills a third of all rows arrives once
-for each slice.  Parts are as many as the session's shuffle partitions.
+for each slice.  Parts grow in number with the bytes of all texts, so that each stays small.
+
+Rows are told apart by id and 32 bits of a hash of the text.  Windows are equal if 48
+and 64 bits of two hashes are.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from . import arrays as A
 KEYS, DONE, OPEN = 0, 1, 2
 SCHEMA = "bucket int, kind int, data binary"
 #: What is known about places of a document: id, first window, windows, check of the text.
-PLACES = (np.int64, np.int32, np.int32, np.uint16)
+PLACES = (np.int64, np.int32, np.int32, np.uint32)
 
 
 def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -109,7 +112,7 @@ def covered(first: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
 
 
 def row_checks(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return (A.span_hashes(data, offs[:-1], offs[1:]) & A.U(0xFFFF)).astype(np.uint16)
+    return (A.span_hashes(data, offs[:-1], offs[1:]) & A.U(0xFFFFFFFF)).astype(np.uint32)
 
 
 def run(
@@ -122,7 +125,7 @@ def run(
     schema: str,
 ) -> DataFrame:
     """The whole search; ``docs`` is (doc_id, text)."""
-    n = A.buckets(docs.sparkSession)
+    n = A.parts_for(docs, "text")
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -61,7 +61,7 @@ def _shared(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: int, send: boo
     low, high = np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
     both = (low != high)[group]
     ones = np.ones(int(both.sum()), np.int32)
-    out = R.placed(R.OPEN, n, doc[both], pos[both], ones, np.zeros(len(ones), np.uint16))
+    out = R.placed(R.OPEN, n, doc[both], pos[both], ones, np.zeros(len(ones), np.uint32))
     if send:
         # of a shared key, the places of the smallest and of the largest id stand for all in this slice:
         # with both, other texts under one of these ids are looked at as well
@@ -91,7 +91,7 @@ def extend(batch: pa.RecordBatch, places: R.Places, n: int) -> list:
     fits = lo <= hi
     w = np.flatnonzero(R.covered(lo[fits], hi[fits] + 1, len(start)))
     h = A.span_hashes(data, start, end)
-    key, other = _grams(h, w, WINDOW), (_grams(h, w, WINDOW, 1) >> A.U(32)).astype(np.uint32)
+    key, other = _grams(h, w, WINDOW), _grams(h, w, WINDOW, 1)
     row = A.rows_of(first)[w]
     order = np.lexsort((doc[row], other, key))
     key, other, row, w = key[order], other[order], row[order], w[order]
@@ -110,7 +110,7 @@ def _later(key, other, doc, pos, check, n: int, send: bool) -> list:
 
 
 def match_windows(table: pa.Table, n: int) -> list:
-    key, other, doc, pos, check = R.unkeyed(R.of_kind(table, R.KEYS), np.uint32, np.int64, np.int32, np.uint16)
+    key, other, doc, pos, check = R.unkeyed(R.of_kind(table, R.KEYS), np.uint64, np.int64, np.int32, np.uint32)
     order = np.lexsort((doc, other, key))
     return R.passed(table, R.DONE) + _later(key[order], other[order], doc[order], pos[order], check[order], n, False)
 

@@ -101,7 +101,7 @@ def settle(digit, content, doc, at, many, check, state, n: int, send: bool) -> l
 
 
 def match_runs(table: pa.Table, n: int) -> list:
-    cols = R.unkeyed(R.of_kind(table, R.KEYS), np.uint64, np.int64, np.int32, np.uint8, np.uint16, np.uint8)
+    cols = R.unkeyed(R.of_kind(table, R.KEYS), np.uint64, np.int64, np.int32, np.uint8, np.uint32, np.uint8)
     order = np.lexsort((cols[1], cols[0]))
     return R.passed(table, R.DONE) + R.passed(table, R.OPEN) + settle(*[c[order] for c in cols], n, False)
 
@@ -117,7 +117,7 @@ def suffixes(batch: pa.RecordBatch, places: R.Places, n: int) -> list:
     p, of = R.stretch(offs[row] + at, many)
     p, pick = np.unique(p, return_index=True)
     row = row[of[pick]]
-    key, other = A.span_hashes(data, p, p + DEPTH), (A.span_hashes(data, p, p + DEPTH, 1) >> A.U(32)).astype(np.uint32)
+    key, other = A.span_hashes(data, p, p + DEPTH), A.span_hashes(data, p, p + DEPTH, 1)
     order = np.lexsort((other, key))
     key, other, row, p = key[order], other[order], row[order], p[order]
     return repeated(key, other, doc[row], (p - offs[row]).astype(np.int32), checks[row], n, True)
@@ -134,7 +134,7 @@ def repeated(key, other, doc, pos, check, n: int, send: bool) -> list:
 
 
 def match_suffixes(table: pa.Table, n: int) -> list:
-    key, other, doc, pos, check = R.unkeyed(R.of_kind(table, R.KEYS), np.uint32, np.int64, np.int32, np.uint16)
+    key, other, doc, pos, check = R.unkeyed(R.of_kind(table, R.KEYS), np.uint64, np.int64, np.int32, np.uint32)
     order = np.lexsort((other, key))
     return R.passed(table, R.DONE) + repeated(key[order], other[order], doc[order], pos[order], check[order], n, False)
 
