@@ -137,7 +137,6 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 b AS (SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + (size >> (length(bin(size)) - 4)) % 8 END AS band,
              substr(md5(doc_id::VARCHAR), 1, 2) AS spread FROM d),
-k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY band, spread, size, doc_id) AS rk FROM b),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, source_size * 3 AS cap FROM s),
 x AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS share
@@ -145,13 +144,14 @@ x AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBL
 y AS (SELECT *, max(share) OVER () AS lvl FROM x),
 z AS (SELECT source, source_size, least(cap::DOUBLE, lvl * w) AS target,
              ('0x' || substr(md5('20240:' || coalesce('=' || source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM y),
-j AS (SELECT k.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
-      FROM k JOIN z ON k.source IS NOT DISTINCT FROM z.source),
-c AS (SELECT *, u + k / 16.0::DOUBLE - floor(u + k / 16.0::DOUBLE) AS uk FROM j, range(16) g(k)),
-n AS (SELECT *, (floor(uk + rate * rk) - floor(uk + rate * (rk - 1)))::BIGINT * size AS got FROM c),
-e AS (SELECT source, k, abs(sum(got) - max(target)) AS err FROM n GROUP BY source, k),
-f AS (SELECT source, k FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY err, k) = 1)
-SELECT doc_id, size, source_size, target, got AS taken FROM n JOIN f ON n.k = f.k AND n.source IS NOT DISTINCT FROM f.source""",
+j AS (SELECT b.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
+             size > target / 50.0::DOUBLE AS large FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, large ORDER BY band, spread, size, doc_id) AS rk FROM j),
+c AS (SELECT *, least(floor(u + rate * rk) - floor(u + rate * (rk - 1)), 3)::BIGINT AS first FROM n),
+e AS (SELECT source, coalesce(sum(CASE WHEN large THEN first * size END), 0)::BIGINT AS got, coalesce(sum(CASE WHEN NOT large THEN size END), 0)::BIGINT AS left_over, max(target) AS t FROM c GROUP BY source),
+f AS (SELECT source, CASE WHEN left_over > 0 THEN least(greatest((t - got) / left_over, 0.0::DOUBLE), 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rest FROM e)
+SELECT doc_id, size, source_size, target, size * CASE WHEN large THEN first ELSE least(floor(u + rest * rk) - floor(u + rest * (rk - 1)), 3)::BIGINT END AS taken
+FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source""",
     "op9_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 h AS (SELECT doc_id, list_transform(range(1, len(ws) - 11), lambda i: md5(array_to_string(ws[i:i + 12], ' '))) AS h FROM w WHERE len(ws) >= 13),
