@@ -1,13 +1,15 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted in order.  Each has a logistic regression over the
-presence of words; from the second on it also sees the probabilities of the
-categories before it.  In training those are out-of-fold predictions, so a later
-model learns from probabilities as uncertain as the ones it will be given.
+presence of words, hashed into a fixed space; from the second on it also sees the
+probabilities of the categories before it.  In training those are out-of-fold
+predictions, so a later model learns from probabilities as uncertain as the ones
+it will be given.  A model sees the words whose share in its category differs from
+chance among its own training rows, so a fold's labels tell nothing about it.
 
 The models are fitted on the driver from a bounded sample of labelled documents
-(``max_rows``, by a hash of the id) and a bounded vocabulary; every document is
-then judged whole, and nothing is shuffled for it.
+(``max_rows``, by a hash of the id); every document is then judged whole, and
+nothing is shuffled for it.
 
 Defined results: a null text has no words; a label row with a null is not used,
 of several for one document the highest counts; without a usable label of both
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
-MAX_ROWS, MAX_WORDS, FOLDS, PENALTY = 8000, 512, 5, 0.3
+MAX_ROWS, FOLDS, PENALTY = 8000, 5, 0.3
+#: Bits of the space that words are hashed into.
+SPACE = 18
 #: Standard deviations by which a word's share in a category must differ; thousands of words stay below by chance.
 LEAST_Z = 3.4
 
@@ -40,17 +44,21 @@ _LOWER[65:91] += 32
 
 @dataclass
 class Chain:
-    """Categories in order, the words' hashes (sorted), and for each category weights (words, earlier probabilities, constant)."""
+    """Categories in order, the words' places in the space (sorted), and for each category weights (words, earlier probabilities, constant)."""
 
     categories: list[str]
     words: np.ndarray
     weights: list[np.ndarray] = field(default_factory=list)
     limit: float = 0.5
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), 0))
+    def probabilities(self, texts: pa.Array) -> np.ndarray:
+        row, place = presence(texts)
+        k = np.minimum(np.searchsorted(self.words, place), max(0, len(self.words) - 1))
+        hit = self.words[k] == place if len(self.words) else np.zeros(len(k), bool)
+        row, k, out = row[hit], k[hit], np.zeros((len(texts), 0))
         for w in self.weights:
-            out = np.column_stack([out, _sigmoid(np.column_stack([x, out, np.ones(len(x))]) @ w)])
+            z = np.bincount(row, w[k], minlength=len(texts)) + np.column_stack([out, np.ones(len(texts))]) @ w[len(self.words) :]
+            out = np.column_stack([out, _sigmoid(z)])
         return out
 
 
@@ -66,43 +74,89 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return A.span_hashes(low, start, end), A.rows_of(first)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column of x is the constant, which is free."""
-    ridge = np.full(x.shape[1], penalty)
+def presence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each text, once each, as (row, place in the space), sorted."""
+    h, row = token_hashes(texts)
+    both = np.unique(row.astype(np.int64) << SPACE | (h >> A.U(64 - SPACE)).astype(np.int64))
+    return both >> SPACE, both & ((1 << SPACE) - 1)
+
+
+def telling(row: np.ndarray, place: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The places whose share in y = 1 is further from chance than ``LEAST_Z`` allows."""
+    n, share = max(1, len(y)), y.mean() if len(y) else 0.0
+    df = np.bincount(place, minlength=1 << SPACE).astype(float)
+    spread = df * share * (1 - share) * (1 - df / (n + 1)) + 1
+    return np.flatnonzero(np.abs(np.bincount(place, y[row], minlength=1 << SPACE) - df * share) >= LEAST_Z * np.sqrt(spread))
+
+
+def fit_logistic(row: np.ndarray, col: np.ndarray, words: int, dense: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = 25) -> np.ndarray:
+    """Ridge logistic regression over sparse 0/1 columns and a few dense ones, the last of which is the constant and free.
+
+    Newton steps, each solved by conjugate gradients.
+    """
+    n, k = len(y), words + dense.shape[1]
+    ridge = np.full(k, penalty)
     ridge[-1] = 1e-6
-    w = np.zeros(x.shape[1])
-    rate = np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9)
+    w = np.zeros(k)
+    rate = np.clip(y.mean() if n else 0.0, 1e-9, 1 - 1e-9)
     w[-1] = np.log(rate / (1 - rate))
     if len(np.unique(y)) < 2:
         return w
+    times = lambda v: np.bincount(row, v[col], minlength=n) + dense @ v[words:]
+    back = lambda v: np.r_[np.bincount(col, v[row], minlength=words), dense.T @ v]
     for _ in range(rounds):
-        p = _sigmoid(x @ w)
+        p = _sigmoid(times(w))
         v = np.maximum(p * (1 - p), 1e-9)
-        step = np.linalg.solve((x * v[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        rest = back(y - p) - ridge * w
+        scale = np.r_[np.bincount(col, v[row], minlength=words), (dense**2).T @ v] + ridge
+        step, to = np.zeros(k), rest / scale
+        size = first = rest @ to
+        for _ in range(200):
+            if size <= 1e-12 * max(first, 1e-300):
+                break
+            along = back(v * times(to)) + ridge * to
+            far = size / (to @ along)
+            step += far * to
+            rest = rest - far * along
+            last, size = size, rest @ (rest / scale)
+            to = rest / scale + size / last * to
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[str], words: np.ndarray, told: np.ndarray) -> tuple[Chain, np.ndarray]:
-    """The chain, and the out-of-fold probabilities of the training rows.
+def fit_chain(row: np.ndarray, place: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[str]) -> tuple[Chain, np.ndarray]:
+    """The chain, and the out-of-fold probabilities of the training rows, whose words are (row, place)."""
+    n, held, models = len(y), np.zeros((len(y), 0)), []
+
+    def fitted(train: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words and weights of category j, from some of the rows alone."""
+        new, inside = np.cumsum(train) - 1, train[row]
+        r, c = new[row[inside]], place[inside]
+        words = telling(r, c, y[train, j])
+        at = np.full(1 << SPACE, -1)
+        at[words] = np.arange(len(words))
+        seen = at[c] >= 0
+        return words, fit_logistic(r[seen], at[c[seen]], len(words), np.column_stack([held, np.ones(n)])[train], y[train, j])
 
-    ``told`` says which words each category's model sees (words by categories).
-    """
-    chain, held = Chain(categories, words), np.zeros((len(x), 0))
     for j in range(len(categories)):
-        sees = np.r_[told[:, j], np.ones(j + 1, bool)]
-        xx = np.column_stack([x, held, np.ones(len(x))])[:, sees]
-        p = np.full(len(x), y[:, j].mean() if len(y) else 0.0)
+        p = np.full(n, y[:, j].mean() if n else 0.0)
         for f in np.unique(fold):
             out = fold == f
             if (~out).any():
-                p[out] = _sigmoid(xx[out] @ fit_logistic(xx[~out], y[~out, j]))
-        chain.weights.append(np.zeros(len(sees)))
-        chain.weights[-1][sees] = fit_logistic(xx, y[:, j])
+                words, w = fitted(~out, j)
+                of = np.zeros(1 << SPACE)
+                of[words] = w[: len(words)]
+                p[out] = _sigmoid(np.bincount(row, of[place], minlength=n) + np.column_stack([held, np.ones(n)]) @ w[len(words) :])[out]
+        models.append(fitted(np.ones(n, bool), j))
         held = np.column_stack([held, p])
-    if len(x) and categories:
+    words = np.unique(np.concatenate([m[0] for m in models])) if models else np.zeros(0, np.int64)
+    chain = Chain(categories, words)
+    for own, w in models:
+        chain.weights.append(np.r_[np.zeros(len(words)), w[len(own) :]])
+        chain.weights[-1][np.searchsorted(words, own)] = w[: len(own)]
+    if n and categories:
         p, t = held[:, -1], y[:, -1] > 0.5
         score = lambda c: 2 * ((p >= c) & t).sum() / max(1, (p >= c).sum() + t.sum())
         # most of what is rejected must be rejected rightly
@@ -111,7 +165,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[s
     return chain, held
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """``labels`` has the id and a 0/1 column for each category."""
     y = [F.col(c).cast("int").alias(f"y{j}") for j, c in enumerate(categories)]
     given = labels.select(F.col(id_col).cast("long").alias("_id"), *y).dropna()
@@ -123,49 +177,27 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_rows
     texts = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "inner").drop("_id")
     names = ["doc_id", *[f"y{j}" for j in range(len(y))]]
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in A.slices(whole, "text"):
-                h, row = token_hashes(b.column(1))
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = A.group_starts(row, h)
-                h, row = h[new], row[new]
+                row, place = presence(b.column(1))
                 offs = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], lists], [*names, "tokens"])
-
-    marked = A.checkpointed(A.compact(texts.mapInArrow(tokens, ", ".join(["doc_id long", *[f"y{j} int" for j in range(len(y))], "tokens array<long>"]))))
-    sums = marked.agg(F.count(F.lit(1)), *[F.sum(f"y{j}") for j in range(len(y))]).first()
-    total = max(1, sums[0])
-    df, z = F.col("df"), []
-    for j in range(len(y)):
-        share = (sums[j + 1] or 0) / total
-        spread = df * share * (1 - share) * (1 - df / (total + 1)) + 1
-        z.append(F.abs(F.col(f"a{j}") - df * share) / F.sqrt(spread))
-    counted = marked.select(*names[1:], F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), *[F.sum(f"y{j}").alias(f"a{j}") for j in range(len(y))])
-    each = [v.alias(f"z{j}") for j, v in enumerate(z)]
-    best = counted.where(df >= 3).select("token", F.greatest(*z, F.lit(0.0)).alias("z"), *each).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "token").limit(max_words).collect()
-    best.sort(key=lambda r: r[0] % (1 << 64))
-    words = np.array([r[0] for r in best], np.int64).view(np.uint64)
-    told = np.array([[v >= LEAST_Z for v in r[2:]] for r in best], bool).reshape(-1, len(y))
-    wanted = F.array(*[F.lit(int(w)) for w in words.view(np.int64)]).cast("array<long>")
-    rows = marked.select(*names, F.array_intersect("tokens", wanted).alias("tokens")).orderBy(*names).collect()  # at most about max_rows
-    x, labelled = np.zeros((len(rows), len(words))), np.array([[float(v) for v in r[1:-1]] for r in rows]).reshape(-1, len(y))
-    for i, r in enumerate(rows):
-        x[i, np.searchsorted(words, np.array(r[-1], np.int64).view(np.uint64))] = 1
-    fold = (A.mix(np.array([r[0] or 0 for r in rows], np.int64).view(np.uint64)) % A.U(FOLDS)).astype(int)
-    return fit_chain(x, labelled, fold, categories, words, told)[0]
-
-
-def features(chain: Chain, texts: pa.Array) -> np.ndarray:
-    x = np.zeros((len(texts), len(chain.words)))
-    if len(chain.words):
-        h, row = token_hashes(texts)
-        k = np.minimum(np.searchsorted(chain.words, h), len(chain.words) - 1)
-        hit = chain.words[k] == h
-        x[row[hit], k[hit]] = 1
-    return x
+                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(place.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], lists], [*names, "places"])
+
+    # at most about max_rows rows, each with its different words
+    marked = texts.mapInArrow(words, ", ".join(["doc_id long", *[f"y{j} int" for j in range(len(y))], "places array<int>"])).toArrow().combine_chunks()
+    doc = A.ids(marked["doc_id"].combine_chunks())
+    lists = marked["places"].combine_chunks()
+    size = np.asarray(lists.value_lengths()).astype(np.int64)
+    row, place = np.repeat(np.arange(len(doc)), size), np.asarray(lists.flatten()).astype(np.int64)
+    labelled = np.array([np.asarray(marked[c]) for c in names[1:]], float).T.reshape(len(doc), len(y))
+    # the order of rows, and so of sums, is the same in each run
+    turn = np.lexsort((np.bincount(row, A.mix(place.astype(A.U)) >> A.U(20), minlength=len(doc)), *labelled.T, doc))
+    rank = np.argsort(turn)
+    order = np.lexsort((place, rank[row]))
+    fold = (A.mix(doc.view(A.U)) % A.U(FOLDS)).astype(int)
+    return fit_chain(rank[row][order], place[order], labelled[turn], fold[turn], categories)[0]
 
 
 def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -176,7 +208,7 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", keep: tuple[
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in A.slices(whole, "_text_"):
-                p = chain.probabilities(features(chain, b.column(len(keep))))
+                p = chain.probabilities(b.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(np.ascontiguousarray(p[:, j])) for j in range(p.shape[1])], pa.array(p[:, -1] >= chain.limit)], names)
 
     kinds = dict(want.dtypes)
@@ -190,7 +222,7 @@ def reject(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFram
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in A.slices(whole, text_col):
-                p = chain.probabilities(features(chain, b.column(at)))
+                p = chain.probabilities(b.column(at))
                 yield b.filter(pa.array(p[:, -1] < chain.limit))
 
     return docs.mapInArrow(fn, docs.schema)
