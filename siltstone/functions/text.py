@@ -1,7 +1,7 @@
 """Text functions as column expressions.
 
-Expressions are exact for ASCII input; the few that need Unicode tables are in
-``unicode`` as Arrow-batched functions.
+Expressions are exact for ASCII input; what needs Unicode tables comes from
+``unicode``, whose functions take Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.functions.unicode import fold
+
 # fixed values: legal and generic endings that a comparison name loses
-NAME_SUFFIXES = ("inc", "llc", "ltd", "corp", "co", "labs", "technologies", "technology", "limited", "corporation", "incorporated", "company", "lp", "llp", "plc", "gmbh")
+NAME_SUFFIXES = ("inc", "llc", "corp", "co", "ltd", "technologies", "labs", "holdings", "incorporated", "corporation", "limited", "company", "lp", "llp", "plc", "pbc")
 # fixed values: public suffixes of two labels under a two-letter country
 SECOND_LEVEL = ("co", "com", "org", "net", "ac", "gov", "edu")
 
@@ -32,11 +34,12 @@ def normalize_domain(value: Column) -> Column:
 
 def normalize_name(name: Column) -> Column:
     """The comparison form of a name: folded, punctuation as spaces, endings stripped, never empty."""
-    text = F.regexp_replace(F.lower(name), "&", " and ")
-    # dotted initials are joined: l.l.c. -> llc
-    text = F.regexp_replace(text, r"(?<![a-z0-9_])([a-z])[.]([a-z])[.]([a-z])[.]?(?![a-z0-9.])", "$1$2$3")
-    text = F.regexp_replace(text, r"(?<![a-z0-9_.])([a-z])[.]([a-z])[.]?(?![a-z0-9.])", "$1$2")
-    text = collapse(F.regexp_replace(text, r"[^a-z0-9]+", " "))
+    # only names with other than ASCII letters need Unicode's tables
+    text = F.coalesce(fold(F.when(name.rlike(r"[^\x00-\x7F]"), name)), F.lower(name))
+    text = F.regexp_replace(text, "&", " and ")
+    # dots between single letters go, however many letters: l.l.c. -> llc
+    text = F.regexp_replace(text, r"(?<=(?<![\p{L}\p{N}_])[a-z])[.](?=[a-z](?![a-z0-9]))", "")
+    text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
     return F.regexp_replace(text, rf"( ({'|'.join(NAME_SUFFIXES)}))+$", "")
 
 

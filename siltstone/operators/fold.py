@@ -40,7 +40,8 @@ def dedupe_lowest(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
 def repoint_pairs(pairs: DataFrame, decisions: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Unresolved pairs of a dropped entity pointed at the kept one: ordered, without self pairs and pairs already there."""
     dropped = decisions.select("drop_id", "keep_id")
-    touched = pairs.join(dropped, (F.col(a) == F.col("drop_id")) | (F.col(b) == F.col("drop_id")), "inner")
+    # once for each end, so that ends meet decisions by equality
+    touched = pairs.select(a, b, F.explode(F.array(a, b)).alias("drop_id")).join(dropped, "drop_id", "inner")
     other = F.when(F.col(a) == F.col("drop_id"), F.col(b)).otherwise(F.col(a))
     moved = touched.select(F.least("keep_id", other).alias(a), F.greatest("keep_id", other).alias(b)).where(F.col(a) != F.col(b)).distinct()
     return moved.join(pairs.select(a, b), [a, b], "left_anti")

@@ -278,6 +278,17 @@ def resolve_ordered(t: Tables) -> DataFrame:
     return R.resolve(records, stored(t)).select("rid", "entity_id", "matched_by")
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_name AS name, p_type AS metro, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM part),
+c AS (SELECT r.id AS rid, s.id AS entity_id, len(list_intersect(r.g, s.g)) AS n, len(r.g) + len(s.g) AS m FROM p r JOIN p s ON r.metro = s.metro AND r.name <> s.name WHERE r.id % 2 = 1 AND s.id % 2 = 0)
+SELECT rid, entity_id, CAST(n / CAST(m - n AS DOUBLE) AS FLOAT) AS similarity FROM c WHERE CAST(n / CAST(m - n AS DOUBLE) AS FLOAT) > CAST(0.5 AS FLOAT)"""
+)
+def resolve_candidates(t: Tables) -> DataFrame:
+    """Parts with odd keys are new records, those with even keys are stored."""
+    p = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("normalized_name"), F.col("p_type").alias("metro"))
+    return R.candidates(p.where("id % 2 = 1").withColumnRenamed("id", "rid"), p.where("id % 2 = 0"), "rid", threshold=0.5)
+
+
 @query(f"WITH {STORED}, u AS (SELECT domain, min(id) AS id FROM s WHERE domain IS NOT NULL GROUP BY 1 HAVING count(DISTINCT metro) = 1) SELECT domain, id FROM u")
 def unique_lookup(t: Tables) -> DataFrame:
     """Names that occur in one place only."""

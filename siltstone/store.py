@@ -37,8 +37,10 @@ class Table:
         out = fs.create(draft)
         out.write(bytearray(name.encode()))
         out.close()
-        # rename over the old pointer
-        fs.delete(path, False)
-        if not fs.rename(draft, path):
-            raise OSError(f"cannot replace {path}")
+        # one rename over the old pointer: readers find the old snapshot or the new one
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(draft, path, how)
         return name

@@ -56,18 +56,18 @@ def test_pages_walk_the_whole_sort(spark):
         got += [r.id for r in page.rows]
         if page.next is None:
             break
-        cursor = B.Cursor.decode(page.next, "amount")
+        cursor = B.cursor_of(page.next, "amount")
     assert got == want == [2, 6, 0, 3, 7, 5, 1, 4]
 
 
 def test_cursor_refuses(spark):
-    token = B.Cursor("amount", 5.0, 3).encode()
-    assert B.Cursor.decode(token, "amount") == B.Cursor("amount", 5.0, 3)
-    for bad in ("x", token[:-3], B.Cursor("a", "\0", 1).encode(), B.Cursor("amount", 1, -1).encode()):
+    token = B.token_of(B.Cursor("amount", 5.0, 3))
+    assert B.cursor_of(token, "amount") == B.Cursor("amount", 5.0, 3)
+    for bad in ("x", token[:-3], B.token_of(B.Cursor("amount", "\0", 1)), B.token_of(B.Cursor("amount", 1, -1)), B.token_of(B.Cursor("amount", True, 1)), token + "=", token + "A"):
         with pytest.raises(ValueError):
-            B.Cursor.decode(bad, "amount")
+            B.cursor_of(bad, "amount")
     with pytest.raises(ValueError):
-        B.Cursor.decode(token, "name")
+        B.cursor_of(token, "name")
     with pytest.raises(ValueError):
         B.page_of(spark.range(3), B.Sort("id", "id"), limit=0)
 
@@ -177,3 +177,19 @@ def test_cron_period():
     assert [period(c) for c in ("0 6 * * *", "*/15 * * * *", "0 6 * * 1", "0 0 1 * *", None)] == [dt.timedelta(days=1), dt.timedelta(minutes=15), dt.timedelta(days=7), dt.timedelta(days=31), None]
     with pytest.raises(ValueError):
         period("61 * * * *")
+
+
+def test_candidates_are_similar_names_of_one_place(spark):
+    stored = spark.createDataFrame([(1, "applied intuition", "sf"), (2, "applied intuition", "ny"), (3, "quantum widget works", "sf"), (4, None, "sf")], "id long, normalized_name string, metro string")
+    records = spark.createDataFrame([(7, "applied intuitions", "sf"), (8, "quantum widgets works", "sf"), (9, "applied intuition", "sf"), (10, "quantum widgets works", None)], "rid long, normalized_name string, metro string")
+    got = {(r.rid, r.entity_id) for r in R.candidates(records, stored, "rid", threshold=0.8).collect()}
+    assert got == {(7, 1), (8, 3)}
+    # exactly 0.85 is no candidate
+    assert {(r.rid, r.entity_id) for r in R.candidates(records, stored, "rid").collect()} <= {(8, 3)}
+
+
+def test_repointing_meets_decisions_by_equality(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5)], "a long, b long")
+    moved = G.repoint_pairs(pairs, spark.createDataFrame([(9, 2), (5, 3)], "keep_id long, drop_id long"))
+    assert rows(moved) == [(1, 9), (2, 5), (3, 9), (4, 5)]
+    assert "NestedLoop" not in moved._jdf.queryExecution().toString()

@@ -20,7 +20,7 @@ def test_domain(spark, given, want):
     assert one(spark, X.normalize_domain, given) == want
 
 
-@pytest.mark.parametrize("given, want", [("Acme Technologies, Inc.", "acme"), ("Labs Inc", "labs"), ("Co", "co"), ("A & B L.L.C.", "a and b"), ("Web 2.0 Ltd", "web 2 0"), ("x.ai", "x ai"), ("Foo, L.P.", "foo")])
+@pytest.mark.parametrize("given, want", [("Acme Technologies, Inc.", "acme"), ("Labs Inc", "labs"), ("Co", "co"), ("A & B L.L.C.", "a and b"), ("Web 2.0 Ltd", "web 2 0"), ("x.ai", "x ai"), ("Foo, L.P.", "foo"), ("Acme Holdings", "acme"), ("Blue Technology", "blue technology"), ("Café Zürich Inc.", "cafe zurich"), ("A.B.C.D. Systems", "abcd systems"), ("U.S. Robotics L.L.C.", "us robotics"), ("u.s.robotics", "us robotics"), ("a.b.cd", "ab cd"), ("Works PBC", "works"), ("3.5 Labs", "3 5"), (None, None), ("", "")])
 def test_name(spark, given, want):
     assert one(spark, X.normalize_name, given) == want
 
