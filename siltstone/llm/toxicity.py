@@ -111,8 +111,8 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, words: int, dense: np.ndarray
         scale = np.r_[np.bincount(col, v[row], minlength=words), (dense**2).T @ v] + ridge
         step, to = np.zeros(k), rest / scale
         size = first = rest @ to
-        for _ in range(200):
-            if size <= 1e-12 * max(first, 1e-300):
+        for _ in range(100):
+            if size <= 1e-6 * max(first, 1e-300):
                 break
             along = back(v * times(to)) + ridge * to
             far = size / (to @ along)
@@ -121,7 +121,7 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, words: int, dense: np.ndarray
             last, size = size, rest @ (rest / scale)
             to = rest / scale + size / last * to
         w += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
