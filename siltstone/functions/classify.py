@@ -76,6 +76,18 @@ def matched_keyword(text: Column, rules) -> Column:
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 
+def classify_round(text: Column, rules) -> list[Column]:
+    """round type of a headline and the keyword that told it; unknown where no rule fits."""
+    line = F.regexp_replace(text, r"\s+", " ")
+    return [first_match(line, rules, "unknown").alias("round_type"), matched_keyword(line, rules).alias("keyword")]
+
+
+def classify_person(title: Column, rules) -> list[Column]:
+    """role type of a person's title and the keyword that told it; null where no rule fits."""
+    line = F.nullif(F.trim(F.regexp_replace(title, r"\s+", " ")), F.lit(""))
+    return [first_match(line, rules).alias("role_type"), matched_keyword(line, rules).alias("keyword")]
+
+
 def classify_role(title: Column, body: Column, hint: Column, *, families=FAMILIES, employment=EMPLOYMENT, seniorities=SENIORITIES, flexible=FLEXIBLE) -> list[Column]:
     """family, seniority, employment type and flexibility of a role.
 

@@ -1,52 +1,72 @@
-"""Token search: postings of the terms asked for, joined and counted.
+"""Token search: postings of the stems asked for, joined and counted.
 
-Terms are lower-cased runs of letters and digits without stop words; all must
-occur.  ``-term`` excludes, and words in quotes stand next to each other.
-Stemming is not applied.
+Terms are lower-cased runs of letters and digits, without stop words and as
+English stems.  All must occur; ``or`` between two words or phrases starts
+another alternative, ``-`` excludes, and words in quotes stand as far from each
+other as in the query, stop words counted.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: English stop words that searches ignore
-STOP = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
+from siltstone.functions.stem import STOP, english, stems
+
+#: A part of a query: excluded or not, and (distance from the first, stem).
+Part = tuple[bool, list[tuple[int, str]]]
 
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def parse(q: str) -> tuple[list[str], list[str], list[str]]:
-    """Terms to have, terms to lack, phrases."""
-    phrases = [" ".join(re.findall(r"\w+", p.lower())) for p in re.findall(r'"([^"]*)"', q)]
-    rest = re.sub(r'"[^"]*"', " ", q)
-    lack = [w.lower() for w in re.findall(r"(?<!\S)-(\w+)", rest)]
-    have = [w for w in re.findall(r"\w+", re.sub(r"(?<!\S)-\w+", " ", rest).lower()) if w not in STOP]
-    return list(dict.fromkeys(have)), lack, [p for p in phrases if p]
+def parse(q: str) -> list[list[Part]]:
+    """The alternatives of a query, each a list of parts that must all hold; stop words alone are no part."""
+    out: list[list[Part]] = [[]]
+    for dash, phrase, word in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', q):
+        if not dash and word.lower() == "or":
+            out.append([])
+            continue
+        words = re.findall(r"[^\W_]+", (phrase or word).lower())
+        placed = [(k, english(w)) for k, w in enumerate(words) if w not in STOP]
+        if placed:
+            out[-1].append((dash == "-", [(k - placed[0][0], s) for k, s in placed]))
+    return [parts for parts in out if parts]
+
+
+def _holds(part: Part, hits: Column) -> Column:
+    excluded, ((_, first), *others) = part
+    at = lambda h, gap, s: F.exists(hits, lambda g: (g["stem"] == s) & (g["position"] == h["position"] + gap))
+    found = F.exists(hits, lambda h: reduce(and_, [at(h, gap, s) for gap, s in others], h["stem"] == first))
+    return ~found if excluded else found
 
 
 def documents_with(docs: DataFrame, id_col: str, text_col: str, q: str) -> DataFrame:
-    """Ids of the documents that a query matches; a query of stop words only matches nothing."""
-    have, lack, phrases = parse(q)
-    if not have and not phrases:
+    """Ids of the documents that a query matches, once each; a query of stop words only matches nothing.
+
+    Only words that begin like a stem of the query leave a text, and each
+    different one is stemmed once.  Texts that have none are kept only if an
+    alternative does nothing but exclude.
+    """
+    asked = parse(q)
+    if not asked:
         return docs.select(id_col).limit(0)
-    words = terms(F.col(text_col))
-    wanted = F.array(*map(F.lit, [*have, *lack])) if have or lack else F.array().cast("array<string>")
-    hit = F.array_intersect(words, wanted)
-    keep = F.size(F.array_intersect(hit, F.array(*map(F.lit, have)))) == len(have) if have else F.lit(True)
-    for w in lack:
-        keep = keep & ~F.array_contains(hit, w)
-    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    for p in phrases:
-        keep = keep & F.contains(line, F.lit(f" {p} "))
-    return docs.where(keep).select(id_col)
+    wanted = sorted({s for parts in asked for _, placed in parts for _, s in placed})
+    # a stem has the first letter of its word
+    words = docs.select(F.col(id_col), F.posexplode(terms(F.col(text_col))).alias("position", "word")).where(F.substring("word", 1, 1).isin(sorted({s[0] for s in wanted})))
+    forms = words.select("word").distinct().where(~F.col("word").isin(sorted(STOP))).withColumn("stem", stems("word")).where(F.col("stem").isin(wanted))
+    hits = words.join(forms, "word").groupBy(id_col).agg(F.collect_list(F.struct("position", "stem")).alias("hits"))
+    if any(all(excluded for excluded, _ in parts) for parts in asked):
+        hits = docs.select(id_col).distinct().join(hits, id_col, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<position: int, stem: string>>")))
+    return hits.where(reduce(or_, [reduce(and_, [_holds(p, F.col("hits")) for p in parts]) for parts in asked])).select(id_col)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, id, positions): the index to store for repeated searches."""
-    words = docs.select(F.col(id_col), F.posexplode(terms(F.col(text_col))).alias("position", "term"))
-    return words.where(~F.col("term").isin(*STOP)).groupBy("term", id_col).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    words = docs.select(F.col(id_col), F.posexplode(terms(F.col(text_col))).alias("position", "word")).where(~F.col("word").isin(sorted(STOP)))
+    return words.withColumn("term", stems("word")).groupBy("term", id_col).agg(F.array_sort(F.collect_list("position")).alias("positions"))

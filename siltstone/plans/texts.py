@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import classify as C
@@ -361,12 +361,72 @@ def safe_int(t: Tables) -> DataFrame:
     return t.events.select("event_id", N.safe_int(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("about "), F.col("event_id").cast("string")))).alias("n"))
 
 
+TERMS = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')"
+
+
 @query(
-    r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents)
-SELECT doc_id FROM w WHERE w IN ('here', 'onst') GROUP BY doc_id HAVING count(DISTINCT w) = 2"""
+    rf"""WITH w AS (SELECT doc_id, unnest({TERMS}) AS w FROM documents)
+SELECT doc_id FROM w WHERE w IN ('license', 'licenses', 'licensed', 'licensing', 'onst') GROUP BY doc_id HAVING bool_or(w LIKE 'licens%') AND bool_or(w = 'onst')"""
 )
 def search_fts(t: Tables) -> DataFrame:
-    """Documents with every term, through a postings table of the terms asked for."""
+    """Documents with every term in any form, through postings of the terms asked for."""
     from siltstone.operators.search import documents_with
 
-    return documents_with(t.documents, "doc_id", "text", "Here of onst")
+    return documents_with(t.documents, "doc_id", "text", "Licensing here of onst")
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, ' ' || array_to_string({TERMS}, ' ') || ' ' AS s FROM documents)
+SELECT doc_id FROM d WHERE regexp_matches(s, ' rights? reserve[sd]? ') OR (regexp_matches(s, ' tokens? ') AND NOT regexp_matches(s, ' licens(e|es|ed|ing) '))"""
+)
+def search_phrase(t: Tables) -> DataFrame:
+    """A phrase, or a word without another one."""
+    from siltstone.operators.search import documents_with
+
+    return documents_with(t.documents, "doc_id", "text", '"right reserves" or tokens -licensed')
+
+
+ROUND_RULES = (("pre_seed", ("pre-seed",)), ("series_d_plus", ("series d", "growth round")), ("series_a", ("series a",)), ("convertible_note", ("convertible note",)), ("seed", ("seed round", "seed")))
+#: Headlines, their round and the keyword that tells it.
+ROUNDS = (
+    ("closes a pre–seed", "pre_seed", "pre-seed"), ("lands Series\n  D money", "series_d_plus", "series d"), ("adds to its SERIES A", "series_a", "series a"), ("seeded nothing", "unknown", None), ("seed, then Series A", "series_a", "series a"),
+    ("signs a convertible  note", "convertible_note", "convertible note"), ("plants seed", "seed", "seed"), ("growth-round talk", "series_d_plus", "growth round"), ("series ab", "unknown", None), ("", "unknown", None),
+)
+PERSON_RULES = (("founder", ("founder", "co-founder")), ("recruiter", ("recruiter", "hr")), ("eng_lead", ("vp of engineering", "cto")), ("exec", ("ceo", "vp")))
+ROLES = (
+    ("Co‑Founder & CEO", "founder", "founder"), ("VP  of Engineering", "eng_lead", "vp of engineering"), ("VP, Sales", "exec", "vp"), ("HR", "recruiter", "hr"), ("Chronicler", None, None), ("  ", None, None), (None, None, None), ("ceo/cto", "eng_lead", "cto"),
+)
+
+
+def _literal(v: str | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if v is None else f"'{v}'"
+
+
+def _wanted(rows: tuple, key: str, at: int) -> str:
+    return f"CASE {key} % {len(rows)} " + " ".join(f"WHEN {k} THEN {_literal(r[at])}" for k, r in enumerate(rows)) + " END"
+
+
+def _given(rows: tuple, key: str) -> Column:
+    return F.array(*[F.lit(r[0]).cast("string") for r in rows])[(F.col(key) % len(rows)).cast("int")]
+
+
+@query(f"SELECT o_orderkey, {_wanted(ROUNDS, 'o_orderkey', 1)} AS round_type, {_wanted(ROUNDS, 'o_orderkey', 2)} AS keyword FROM orders")
+def classify_round_type(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", *C.classify_round(_given(ROUNDS, "o_orderkey"), ROUND_RULES))
+
+
+@query(f"SELECT c_custkey, {_wanted(ROLES, 'c_custkey', 1)} AS role_type, {_wanted(ROLES, 'c_custkey', 2)} AS keyword FROM customer")
+def classify_person_role(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", *C.classify_person(_given(ROLES, "c_custkey"), PERSON_RULES))
+
+
+#: Two candidates for a description and the text of the first that has any.
+DESCRIBED = ((" ", "<p>Second</p>", "Second"), ("<p> </p>", "plain", "plain"), ("<b>First</b> one", "x", "First one"), (None, None, None), ("&lt;p&gt;Escaped&lt;/p&gt;", None, "Escaped"), (None, " <br> ", None))
+
+
+@query(f"SELECT p_partkey, {_wanted(DESCRIBED, 'p_partkey', 2)} AS description FROM part")
+def description_pick(t: Tables) -> DataFrame:
+    from siltstone.sources.boards import description
+
+    second = F.array(*[F.lit(r[1]).cast("string") for r in DESCRIBED])[(F.col("p_partkey") % len(DESCRIBED)).cast("int")]
+    return t.part.select("p_partkey", description(_given(DESCRIBED, "p_partkey"), second).alias("description"))

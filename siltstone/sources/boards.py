@@ -17,7 +17,8 @@ LIMIT = 20000
 FIELDS = ("external_id", "title", "url", "location_text", "is_remote", "employment_type", "compensation_raw", "posted_at", "description_raw")
 
 
-def _described(*candidates: Column) -> Column:
+def description(*candidates: Column) -> Column:
+    """The plain text of the first candidate that has any."""
     texts = [F.nullif(X.html_to_text(X.unescape(c), LIMIT), F.lit("")) for c in candidates]
     return F.coalesce(*texts)
 
@@ -35,7 +36,7 @@ def greenhouse(df: DataFrame, keys: list[str], payload: str = "payload") -> Data
         df, F.from_json(payload, schema)["jobs"], keys,
         external_id=F.col("j.id").cast("string"), title=F.col("j.title"), url=F.col("j.absolute_url"), location_text=where,
         is_remote=F.coalesce(F.lower(where).contains("remote"), F.lit(False)),
-        posted_at=F.coalesce(N.iso_timestamp(F.col("j.first_published")), N.iso_timestamp(F.col("j.updated_at"))), description_raw=_described(F.col("j.content")),
+        posted_at=F.coalesce(N.iso_timestamp(F.col("j.first_published")), N.iso_timestamp(F.col("j.updated_at"))), description_raw=description(F.col("j.content")),
     )
 
 
@@ -55,7 +56,7 @@ def lever(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame
         external_id=F.col("j.id"), title=F.col("j.text"), url=F.coalesce("j.hostedUrl", "j.applyUrl"), location_text=places,
         is_remote=F.coalesce((F.lower("j.workplaceType") == "remote") | F.lower(places).contains("remote"), F.lit(False)),
         employment_type=F.col("j.categories.commitment"), compensation_raw=format_salary(pay["min"], pay["max"], pay["currency"], pay["interval"]),
-        posted_at=F.timestamp_millis("j.createdAt"), description_raw=_described(F.col("j.descriptionPlain"), F.col("j.description")),
+        posted_at=F.timestamp_millis("j.createdAt"), description_raw=description(F.col("j.descriptionPlain"), F.col("j.description")),
     )
 
 
@@ -78,7 +79,7 @@ def ashby(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame
         external_id=text("$.id"), title=text("$.title"), url=F.coalesce(text("$.jobUrl"), text("$.applyUrl")), location_text=places,
         is_remote=(F.coalesce(F.lower(text("$.isRemote")), F.lit("")) == "true") | F.coalesce(F.lower(places).contains("remote"), F.lit(False)),
         employment_type=text("$.employmentType"), compensation_raw=text("$.compensation.compensationTierSummary"),
-        posted_at=N.iso_timestamp(text("$.publishedAt")), description_raw=_described(text("$.descriptionPlain"), text("$.descriptionHtml")),
+        posted_at=N.iso_timestamp(text("$.publishedAt")), description_raw=description(text("$.descriptionPlain"), text("$.descriptionHtml")),
     )
 
 
@@ -90,7 +91,7 @@ def workable(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFr
     return _jobs(
         df, F.from_json(payload, schema)["jobs"], keys,
         external_id=F.col("j.shortcode"), title=F.col("j.title"), url=F.coalesce("j.url", "j.shortlink"), location_text=places, is_remote=F.coalesce("j.telecommuting", F.lit(False)),
-        employment_type=F.col("j.employment_type"), posted_at=F.coalesce(N.iso_timestamp(F.col("j.published_on")), N.iso_timestamp(F.col("j.created_at"))), description_raw=_described(F.col("j.description")),
+        employment_type=F.col("j.employment_type"), posted_at=F.coalesce(N.iso_timestamp(F.col("j.published_on")), N.iso_timestamp(F.col("j.created_at"))), description_raw=description(F.col("j.description")),
     )
 
 

@@ -1,13 +1,13 @@
-"""Sources by name, in order of authority, and a data source over saved payloads."""
+"""Sources by name, in order of authority, and saved payloads."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.sources import boards, feeds
+from siltstone.sources import boards, feeds, sites
 
 MAPPERS: dict[str, Callable[..., DataFrame]] = {
     "sec_edgar": feeds.form_d,
@@ -16,7 +16,9 @@ MAPPERS: dict[str, Callable[..., DataFrame]] = {
     "lever": boards.lever,
     "ashby": boards.ashby,
     "workable": boards.workable,
+    "hn_hiring": sites.hiring,
     "funding_rss": feeds.feed_items,
+    "company_site": sites.site,
 }
 
 
@@ -26,40 +28,6 @@ def mapper(name: str) -> Callable[..., DataFrame]:
     return MAPPERS[name]
 
 
-class SavedPayloads(DataSource):
-    """``spark.read.format("saved_payloads").load(folder)``: one row for each file, (name, payload).
-
-    One partition for each file; the folder is on storage that all workers mount.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "saved_payloads"
-
-    def schema(self) -> str:
-        return "name string, payload string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
-
-        return [_File(str(p)) for p in sorted(Path(self.folder).iterdir()) if p.is_file()]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        from pathlib import Path
-
-        p = Path(partition.path)
-        yield p.name, p.read_text(encoding="utf-8")
+def saved_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, payload): one row for each file of a folder that all workers can read, many small files to a task."""
+    return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("payload"))

@@ -137,6 +137,8 @@ def test_search(spark):
     docs = spark.createDataFrame([(1, "The red fox runs"), (2, "a fox, red"), (3, "")], "id long, text string")
     find = lambda q: sorted(r.id for r in search.documents_with(docs, "id", "text", q).collect())
     assert find("red fox") == [1, 2] and find('"red fox"') == [1] and find("fox -runs") == [2] and find("the") == []
+    assert find("running foxes") == [1] and find("-run") == [2, 3] and find("runs or RED -fox") == [1] and find('fox or "red run"') == [1, 2] and find('"running the red" or zebra') == []
+    assert find('"fox a red"') == [] and find('"the red fox"') == [1] and find("or") == []
     assert ("fox", 1, [2]) in rows(search.postings(docs, "id", "text"))
 
 

@@ -52,8 +52,7 @@ def test_registry_and_saved_payloads(spark, tmp_path):
         registry.mapper("nope")
     (tmp_path / "a.json").write_text("{}")
     (tmp_path / "b.json").write_text("[]")
-    spark.dataSource.register(registry.SavedPayloads)
-    got = spark.read.format("saved_payloads").load(str(tmp_path)).orderBy("name").collect()
+    got = registry.saved_payloads(spark, str(tmp_path)).orderBy("name").collect()
     assert [tuple(r) for r in got] == [("a.json", "{}"), ("b.json", "[]")]
 
 
@@ -93,3 +92,21 @@ def test_board_records(spark):
     targets = spark.createDataFrame([(0, "Acme", True), (1, "Beta", None)], "k long, name string, read boolean")
     got = boards.records(targets, jobs, ["k"]).orderBy("k").collect()
     assert [([j.external_id for j in r.jobs], r.jobs_complete, r.enrich_only) for r in got] == [(["2", "1"], True, True), ([], False, True)]
+
+
+def test_hiring_comments(spark):
+    items = [{"id": 1, "title": "Ask HN: Who is hiring? (May)", "time": 5, "kids": [11, 12, 13]}, {"id": 2, "title": "Ask HN: Who wants to be hired?", "time": 9, "kids": [14]}]
+    items += [{"id": 11, "time": 1700000000, "text": "Acme | Rome | Full-time | https://www.acme.com/jobs<p>Write to Jobs@acme.com"}, {"id": 12, "deleted": True}, {"id": 13, "time": 1, "text": "Late | x"}, {"id": 14, "text": "No | x"}]
+    r = registry.mapper("hn_hiring")(payload(spark, *map(json.dumps, items)), newest=1, kids=2).collect()
+    assert len(r) == 1 and (r[0].comment, r[0].name, r[0].domain, r[0].commitment, r[0].others, r[0].addresses) == (11, "Acme", "acme.com", "Full-time", ["Rome"], ["jobs@acme.com"])
+
+
+def test_company_site(spark):
+    home = '<title>Acme</title><meta name="description" content="We make it"><a href="https://github.com/acme">g</a><a href="mailto:Hi@acme.com">m</a>'
+    team = '<meta name="description" content="Team"><a href="https://www.linkedin.com/company/acme/">l</a><a href="mailto:hi@acme.com">m</a>'
+    pages = spark.createDataFrame([("https://acme.com/", home), ("https://www.acme.com/team", team), ("nowhere", home), ("https://b.org/", None)], "url string, html string")
+    r = {x.domain: x for x in registry.mapper("company_site")(pages).collect()}
+    assert set(r) == {"acme.com", "b.org"} and r["b.org"].pages == 1 and r["b.org"].one_liner is None
+    a = r["acme.com"]
+    assert (a.pages, a.one_liner, a.addresses) == (2, "We make it", ["hi@acme.com"])
+    assert [(x.kind, x.url) for x in a.links] == [("github", "https://github.com/acme"), ("linkedin_company", "https://www.linkedin.com/company/acme/")]

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions.stem import english
 from siltstone.functions import classify as C
 from siltstone.functions import numbers as N
 from siltstone.functions import text as X
@@ -69,3 +70,12 @@ def test_html(spark):
     assert one(spark, X.html_title, page) == "A & B"
     assert one(spark, lambda c: X.meta_content(c, "og:description", "description"), page) == "D"
     assert one(spark, X.html_to_text, page).endswith("One\nTwo <3")
+
+
+# fixed values: words and stems of the published rules' examples
+STEMS = "consigned consign, consistently consist, consolatory consolatori, knightly knight, knives knive, knotty knotti, generously generous, hoping hope, hopping hop, ties tie, cries cri, say say, gas gas, kiwis kiwi, relational relat, hopefulness hope, electricity electr, adoption adopt, controlled control, agreed agre, youth youth, dying die, news news, succeeded succeed, 3d 3d, café café"
+
+
+def test_english_stems():
+    for word, stem in (p.split() for p in STEMS.split(", ")):
+        assert english(word) == stem
