@@ -10,6 +10,31 @@ from pyspark.sql import functions as F
 
 from .arrays import checkpointed, compact
 
+#: Rows of one key that a join deals to one task.
+HUB = 10_000
+#: Keys with more rows up to which their table is broadcast.
+MOST_SENT = 200_000
+
+
+def hubs(rows: DataFrame, *keys: str) -> DataFrame | None:
+    """(hub, ways): the values of ``keys`` with more than ``HUB`` rows in all, and how many parts these go to."""
+    if rows.count() <= HUB:
+        return None
+    ends = rows.select(F.explode(F.array(*keys)).alias("hub"))
+    many = checkpointed(ends.groupBy("hub").count().where(F.col("count") > HUB).select("hub", F.ceil(F.col("count") / HUB).cast("int").alias("ways")))
+    found = many.count()
+    return None if not found else F.broadcast(many) if found <= MOST_SENT else many
+
+
+def looked_up(rows: DataFrame, key: str, spread: str, table: DataFrame, many: DataFrame | None) -> DataFrame:
+    """``rows`` with the row of ``table`` (one for each value in its column n) of their key; a hub's rows go to parts by ``spread``."""
+    if many is None:
+        return rows.join(table, F.col(key) == F.col("n"), "inner").drop("n")
+    ways = F.coalesce("ways", F.lit(1))
+    dealt = rows.join(many, F.col(key) == F.col("hub"), "left").withColumn("part", F.pmod(F.xxhash64(spread), ways).cast("int")).drop("hub", "ways")
+    parts = table.join(many, F.col("n") == F.col("hub"), "left").withColumn("its", F.explode(F.sequence(F.lit(0), ways - 1))).drop("hub", "ways")
+    return dealt.join(parts, (F.col(key) == F.col("n")) & (F.col("part") == F.col("its")), "inner").drop("n", "part", "its")
+
 
 def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each node of a partition's links (a, b) linked to the smallest it reaches there."""
@@ -34,10 +59,13 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stars(e: DataFrame, large: bool) -> DataFrame:
-    """Links of nodes to the smallest node near them: of larger neighbours (large) or of smaller ones."""
+    """Links of nodes to the smallest node near them: of larger neighbours (large) or of smaller ones.
+
+    A node can have most nodes as larger neighbours, but has no more smaller ones than there were forests.
+    """
     ways = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = ways.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    out = ways.join(low, F.col("a") == F.col("n"), "inner")
+    out = looked_up(ways, "a", "b", low, hubs(e, "a", "b") if large else None)
     if large:
         out = out.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -58,7 +86,7 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of what is left of a component's length.  They end when every node
     has one root that has none itself; only the count of others reaches the driver.
     """
-    e = forests(links)
+    e = checkpointed(compact(forests(links)))
     while True:
         e = checkpointed(compact(stars(stars(e, True), False)))
         ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("root")))

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .components import components
+from .components import components, hubs, looked_up
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -105,15 +105,20 @@ def links(nodes: DataFrame, most: int = 3, parts: int = 2, width: int = 2) -> Da
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """Returns doc_id, fp and component_id, the smallest doc_id that links reach."""
+    """Returns doc_id, fp and component_id, the smallest doc_id that links reach.
+
+    Fingerprints and components with many rows are dealt to several tasks (``looked_up``).
+    """
     fps = A.checkpointed(A.compact(fingerprints(docs, **how)))
     # a null id is larger than all others, which min() has as well
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(nodes))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return A.compact(fps.join(of, F.col("fp") == F.col("_fp"), "inner")).select("doc_id", "fp", "component_id")
+    linked = A.checkpointed(A.compact(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "low", "root")))
+    least = linked.groupBy(F.col("root").alias("n")).agg(F.min("low").alias("component_id"))
+    of = looked_up(linked, "root", "fp", least, hubs(linked, "root")).select(F.col("fp").alias("of"), "component_id")
+    # a fingerprint without links is its own component
+    of = nodes.join(of, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("n"), F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
+    return A.compact(looked_up(fps, "fp", "doc_id", of, hubs(fps, "fp"))).select("doc_id", "fp", "component_id")
 
 
 #: Copies as a stage removes them: shingles of so many words, so many fifths in common.

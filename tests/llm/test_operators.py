@@ -469,6 +469,22 @@ def test_no_texts_with_most_shingles_in_common_stay(spark):
         assert i in kept or any(i in p for p in pairs) or any((prints[i] ^ prints[j]).bit_count() <= 3 for j in range(len(rows)) if j != i)
 
 
+def test_hubs_are_dealt_to_parts(spark, monkeypatch, corpus):
+    """One node with most links, one fingerprint and one component with most rows: as without parts."""
+    from siltstone.llm import components as C
+
+    rng = random.Random(5)
+    links = [(0, k) for k in range(1, 60)] + [(rng.randrange(60, 90), rng.randrange(60, 90)) for _ in range(20)] + [(7, 95)]
+    docs = spark.createDataFrame([(k, f"w{k} " * 3 if k % 3 else "the same words here") for k in range(40)] + [(None, "the same words here"), (50, None)], "doc_id long, text string").repartition(3)
+    found = lambda: (sorted(map(tuple, C.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect())), sorted((str(r.doc_id), r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()))
+    whole = found()
+    monkeypatch.setattr(C, "HUB", 4)
+    for most in (C.MOST_SENT, 0):
+        monkeypatch.setattr(C, "MOST_SENT", most)
+        assert found() == whole
+    assert dict(whole[0])[95] == 0
+
+
 def test_long_chains_are_one_component(spark):
     from siltstone.llm.components import components
 
