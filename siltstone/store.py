@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder, so that later plans start from it; a local session without one takes a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
+    return df.checkpoint()
+
+
 class Table:
     """Readers see the snapshot that the pointer names; a write becomes visible when the pointer is replaced."""
 
