@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +44,17 @@ def anchor(log: DataFrame, source: str) -> DataFrame:
     return log.where((F.col("connector") == source) & F.col("status").isin("ok", "partial")).agg(F.max("started_at").alias("anchor"))
 
 
+def since(text: str | None) -> datetime | None:
+    """Midnight UTC of a day given as YYYY-MM-DD: a lower bound that overrides a source's window."""
+    if text is None:
+        return None
+    try:
+        day = date.fromisoformat(text)
+    except ValueError:
+        raise ValueError(f"expected a date as YYYY-MM-DD, got {text!r}") from None
+    return datetime(day.year, day.month, day.day, tzinfo=UTC)
+
+
 def _field(text: str, low: int, high: int) -> set[int]:
     out = set()
     for part in text.split(","):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import fold as G
+from siltstone.operators import record as M
 from siltstone.operators import resolve as R
 from siltstone.operators import upsert as U
 from siltstone.plans import Tables, query
@@ -307,3 +308,19 @@ def upsert_pipeline(t: Tables) -> DataFrame:
     records = t.orders.where(k % 4 != 0).select(k.alias("rid"), F.lit(None).cast("string").alias("external_id"), F.when(k % 4 == 1, text("d", k % 150)).alias("domain"), text("n", k % 70).alias("normalized_name"), F.when(k % 5 != 0, (F.col("o_custkey") % 25).cast("int")).alias("metro"))
     fresh = R.resolve(records, stored(t)).where(F.col("entity_id").isNull()).drop("entity_id", "matched_by")
     return R.collapse_new(fresh, ["rid"]).select("rid")
+
+
+@query(
+    """WITH t AS (SELECT max(c_custkey) AS top FROM customer WHERE c_custkey % 2 = 0), r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN 'new ' || c_name END AS line, row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY c_custkey) AS n FROM customer),
+m AS (SELECT CASE WHEN k % 2 = 0 THEN k ELSE top + n END AS id, k, line, CASE WHEN k % 2 = 0 AND k % 7 <> 0 THEN 'old' END AS stored, CASE WHEN k % 2 = 0 AND k % 7 <> 0 THEN CASE WHEN k % 5 = 0 THEN 'sec_edgar' ELSE 'company_site' END END AS owner FROM r, t)
+SELECT id, 'n' || k AS normalized_name, CASE WHEN line IS NOT NULL AND owner IS DISTINCT FROM 'sec_edgar' THEN line ELSE stored END AS line, CASE WHEN line IS NOT NULL AND owner IS DISTINCT FROM 'sec_edgar' THEN 'lever' ELSE owner END AS owner_line FROM m"""
+)
+def merge_records(t: Tables) -> DataFrame:
+    """Customers with even keys are stored (those divisible by 4 are known by their external id), all are records."""
+    k = F.col("c_custkey")
+    name, kept = F.concat(F.lit("n"), k.cast("string")), k % 7 != 0
+    c = t.customer.select(k.alias("rid"), F.concat(F.lit("x"), k.cast("string")).alias("external_id"), F.lit(None).cast("string").alias("domain"), name.alias("normalized_name"), F.col("c_nationkey").alias("metro"), F.lit(False).alias("enrich_only"), F.when(k % 3 != 0, F.concat(F.lit("new "), "c_name")).alias("line"))
+    stored = t.customer.where(k % 2 == 0).select(k.alias("id"), F.lit(None).cast("string").alias("domain"), name.alias("normalized_name"), F.col("c_nationkey").alias("metro"), F.when(kept, F.lit("old")).alias("line"), F.when(kept, F.when(k % 5 == 0, "sec_edgar").otherwise("company_site")).alias("owner_line"))
+    links = t.customer.where(k % 4 == 0).select(k.alias("company_id"), F.lit("lever").alias("connector"), F.concat(F.lit("x"), k.cast("string")).alias("external_id"), day("2026-01-01").alias("last_seen_at"))
+    out = M.merge_records(c, stored, links, ["line"], source="lever", now=day("2026-01-02"), priority=SOURCE_PRIORITY)
+    return out.entities.select("id", "normalized_name", "line", "owner_line")

@@ -160,3 +160,13 @@ def hiring_jobs(comments: DataFrame) -> DataFrame:
     """A comment's own row and one for each of its bullets."""
     own = F.array(F.struct(F.get(F.split("text", "\n"), 0).alias("title"), F.lit(None).cast("string").alias("url")))
     return comments.select("story", "comment", "posted_at", F.posexplode(F.concat(own, role_bullets(F.col("text")))).alias("part", "j")).select("story", "comment", "posted_at", "part", "j.title", "j.url")
+
+
+# fixed values: how a directory's page names its search application and public key
+CREDENTIALS = r'"(?:app|appId|applicationId)"\s*:\s*"([A-Z0-9]{6,32})"\s*,\s*"(?:key|apiKey|searchApiKey)"\s*:\s*"([A-Za-z0-9+/=]{20,})"'
+
+
+def credentials(markup: Column) -> Column:
+    """(app_id, key) that a directory's page names, or null."""
+    found = [F.regexp_extract(markup, CREDENTIALS, k) for k in (1, 2)]
+    return F.when(found[0] != "", F.struct(found[0].alias("app_id"), found[1].alias("key")))

@@ -1,9 +1,14 @@
 import datetime as dt
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators.record import merge_records
+from siltstone.operators.runs import since
 from siltstone.schemas import SOURCE_PRIORITY
+from siltstone.sources.feeds import credentials
+from siltstone.streaming.dedup import drain
 
 NOW, BEFORE = dt.datetime(2026, 1, 2), dt.datetime(2025, 1, 2)
 RECORDS = "rid long, external_id string, domain string, normalized_name string, metro string, enrich_only boolean, line string"
@@ -73,3 +78,31 @@ def test_nothing_new_and_nothing_stored(spark):
     assert run(spark, [], STORED, [])[0] == sorted(STORED, key=str)
     entities, links, pairs, _ = run(spark, [(1, "x", None, None, None, None, None)], [], [])
     assert entities == [(1, None, None, None, None, None)] and links == [(1, "lever", "x", NOW)] and pairs == []
+
+
+def test_since():
+    assert since(None) is None and since("2026-03-04") == dt.datetime(2026, 3, 4, tzinfo=dt.UTC)
+    with pytest.raises(ValueError, match="YYYY-MM-DD"):
+        since("4 March")
+
+
+def test_credentials(spark):
+    key = "a" * 19 + "="
+    pages = [f'<script>x = {{"app": "AB12CD", "key" : "{key}"}}</script>', f'"appId":"AB1","apiKey":"{key}"', "", None]
+    df = spark.createDataFrame([(p,) for p in pages], "page string").select(credentials(F.col("page")).alias("c"))
+    assert [r.c and tuple(r.c) for r in df.collect()] == [("AB12CD", key), None, None, None]
+
+
+def test_a_drain_gives_up_and_goes_on(spark, tmp_path):
+    spark.createDataFrame([(1, BEFORE)], "id long, ts timestamp").write.parquet(str(tmp_path / "in"))
+    calls, written = [], {}
+
+    def slow(df, number):
+        calls.append(number)
+        time.sleep(8 if len(calls) == 1 else 0)
+        written[number] = [r.id for r in df.collect()]
+
+    run = lambda patience: drain(spark, str(tmp_path / "in"), "id long, ts timestamp", str(tmp_path / "ck"), slow, ["id"], "ts", patience=patience)
+    assert run(2) is False and not written
+    # the batch that was not completed is given again; an empty one may follow it
+    assert run(60) is True and calls[:2] == [0, 0] and written[0] == [1]
