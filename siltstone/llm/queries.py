@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrays, fingerprints, mixing, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import arrays, fingerprints, mixing, packing, pattern_packing, periodic_runs, quality, ranked_search, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -76,6 +77,34 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The edit of op11: in a tenth of the documents, by id, the words from some place on repeat a stretch from there; null ids are left alone."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=looped)
+    # exact fractions are compared crosswise; of equal ones the first stays
+    best = F.aggregate(F.slice("runs", F.lit(2), F.size("runs")), F.get("runs", 0), lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return arrays.compact(out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"))
+
+
+def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -87,8 +116,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secrets": op10_secrets,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_pattern_packing": op12_pattern_packing,
+    "op13_ranked_search": op13_ranked_search,
 }
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 
@@ -163,4 +196,32 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
        sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' ')) AS kept_sha256
 FROM w LEFT JOIN l ON w.doc_id = l.doc_id""",
     "op10_secrets": _secrets_sql(),
+    # a run repeats at least 16 words one period on, so it is a stretch of places whose 16 words stand there again
+    "op11_periodic_runs": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+bits AS (SELECT range AS b, list_reduce(list_prepend(range::BIGINT, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS e FROM range(256)),
+tab AS (SELECT list(e ORDER BY b) AS t FROM bits),
+k AS (SELECT doc_id, ws, len(ws) AS n, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h FROM w, tab),
+v AS (SELECT doc_id, ws, n, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, (h // 10) % 8 AS m FROM k),
+e AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + m)) END + 1]) END AS ws FROM v),
+g AS (SELECT doc_id, unnest(list_transform(range(1, n - 14), lambda i: md5(array_to_string(ws[i:i + 15], ' ')))) AS k, unnest(range(0, n - 15)) AS i FROM e WHERE n >= 16),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p),
+l AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+r AS (SELECT doc_id, start::BIGINT AS start, length::BIGINT AS length, min(q)::BIGINT AS period FROM l GROUP BY doc_id, start, length),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM r),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+c AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM r) GROUP BY doc_id)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, o.start, o.length, o.period, (1000 * o.length) // o.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), ' ')) AS collapsed_sha256
+FROM e LEFT JOIN b ON e.doc_id = b.doc_id LEFT JOIN o ON e.doc_id = o.doc_id AND o.place = 1 LEFT JOIN c ON e.doc_id = c.doc_id""",
+    "op13_ranked_search": rf"""
+WITH p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '{_TERM}')) AS t FROM documents) GROUP BY doc_id, t),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d),
+f AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY t, docs),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '{_TERM}')) AS t FROM benchmark),
+x AS (SELECT item_id, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score FROM q JOIN f ON q.t = f.t JOIN p ON p.t = q.t JOIN d ON d.doc_id = p.doc_id, s GROUP BY item_id, p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
 }
