@@ -2,15 +2,11 @@
 
 A posting is (term, document, words of the document, occurrences).  ``postings``
 writes them to the shared folder by hash bucket of the term, a frequent term's
-rows dealt to several files, sorted by term; they are read by bucket and joined
-with the queries' terms.  Scores are integers, so sums do not depend on order.
-
-Not every document that shares a frequent word with a query is summed.  The
-rarest terms of a query give first sums, of which the ``top``-th is a floor for
-the result.  Terms whose greatest scores together stay below the floor cannot
-bring a document into it: only the others' matches are summed, documents that
-could not reach the floor go, and the frequent terms are then looked up for the
-documents that are left.  The result is that of summing every match.
+rows dealt to several files, sorted by term; they are read by bucket, dealt by
+document and joined with the queries' weighted terms, which go to every task in
+blocks of queries.  Each match is a whole number; a document's are summed for
+each query where they are, so that only a query's best of each task travel to
+its top-k.  Sums do not depend on order.
 
 Defined results: a null or empty text has no term; equal rows and null ids are
 documents of their own; queries without a matching term, an empty table of
@@ -22,6 +18,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,12 +27,12 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
-#: Files of postings are in folders by bucket; rows of a term go to ``WAYS`` tasks.
-BUCKETS, WAYS = 32, 16
-#: Terms or weighted terms of queries that are sent to every task; more are joined by shuffle.
+#: Files of postings are in folders by bucket of the term.
+BUCKETS = 16
+#: Rows of the queries' terms that are sent to every task at once; more are searched for in blocks of queries.
 MOST_SENT = 200_000
-#: Rarest terms are taken until they have so many postings.
-FIRST = 2_000
+#: Sums of queries and documents that a task is meant to hold.
+SUMS = 2_000_000
 ROWS = "term string, key long, doc_id long, n long, tf long"
 
 # every byte that ends a term becomes a blank, A to Z lower case
@@ -87,7 +84,9 @@ def stored(rows: DataFrame) -> tuple[DataFrame, str]:
     path = f"{A.shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     bucket = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int")
     # the documents' own rows have no term: they go by their key
-    dealt = rows.withColumn("bucket", bucket).repartition(A.buckets(spark), "bucket", F.pmod(F.xxhash64("key"), F.lit(WAYS)))
+    parts = A.buckets(spark)
+    # a bucket is dealt to as many tasks as there are for it
+    dealt = rows.withColumn("bucket", bucket).repartition(parts, "bucket", F.pmod(F.xxhash64("key"), F.lit(max(1, parts // BUCKETS))))
     dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
     return spark.read.schema(f"{ROWS}, bucket int").parquet(path), path
 
@@ -102,56 +101,37 @@ def share(tf: str, n: str, documents: int, words: int) -> Column:
     return F.expr(f"(1000000000L * {tf}) div (1000L * {tf} + 12L * (75L + (25L * {n} * {documents}L) div {words}L))")
 
 
-def sent(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MOST_SENT else df
-
-
-def search(docs: DataFrame, queries: DataFrame, *, top: int = 20, first: int = FIRST, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, *, top: int = 20, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """Returns query_id, rank, doc_id and score: each query's ``top`` documents with a score above 0, equal scores by document id."""
     spark = docs.sparkSession
     asked = A.checkpointed(with_terms(queries, query_id, query_text))
     distinct = asked.select("term").distinct()
     many = distinct.count()
-    # the queries' own terms, if they are few; else whatever they are, joined below
+    # only the queries' own terms are indexed, unless they are too many to tell every task
     wanted = frozenset(r[0].encode() for r in distinct.collect()) if many <= MOST_SENT else None
     index, path = stored(postings(docs, wanted, id_col, text_col))
     documents, words = index.where("bucket = -1").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    out = f"{query_id} long, rank int, doc_id long, score long"
     if not documents or not many:
         A.dropped(spark, path)
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], f"{query_id} long, rank int, doc_id long, score long")
 
-    worth = share("tf", "n", documents, words)
-    matches = index.where("bucket >= 0").select("bucket", "term", "key", "doc_id", worth.alias("worth"))
-    seen = matches.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("worth").alias("most"))
+    found = index.where("bucket >= 0")
+    counted = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.col("times") * weight_of(F.lit(documents), F.col("df"))
-    weighted = asked.join(seen, "term").withColumn("weight", weight).where("weight > 0").withColumn("reach", F.col("weight") * F.col("most"))
-    rarest = W.partitionBy("item").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
-    weighted = A.checkpointed(weighted.withColumn("taken", F.coalesce(F.sum("df").over(rarest), F.lit(0)) < first))
-    rows = weighted.count()
-
-    def summed(some: DataFrame) -> DataFrame:
-        """(item, key, doc_id, score): what these terms of the queries give each document."""
-        hits = matches.join(sent(some.select("term", "item", "weight"), rows), "term")
-        return hits.groupBy("item", "key").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("weight") * F.col("worth")).alias("score"))
-
+    weighted = A.checkpointed(asked.join(counted, "term").select("term", "item", weight.alias("weight")).where("weight > 0"))
+    rows, items = weighted.agg(F.count(F.lit(1)), F.count_distinct("item")).first()
+    blocks = -(-rows // MOST_SENT) if MOST_SENT else 1
+    parts = A.buckets(spark)
+    parts = min(max(parts, -(-documents * items // max(blocks, 1) // SUMS)), 16 * parts)
     order = W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "key")
-    best = summed(weighted.where("taken")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    floors = best.groupBy("item").agg(F.max_by("score", "rank").alias("floor"), F.max("rank").alias("rank")).select("item", F.when(F.col("rank") == top, F.col("floor")).otherwise(0).alias("floor"))
-    # terms that together stay below the floor, the least first
-    least = W.partitionBy("item").orderBy("reach", F.desc("df"), "term").rowsBetween(W.unboundedPreceding, W.currentRow)
-    parted = weighted.join(floors, "item", "left").withColumn("below", F.sum("reach").over(least)).withColumn("weak", F.col("below") < F.coalesce("floor", F.lit(0)))
-    parted = A.checkpointed(parted)
-    bounds = parted.groupBy("item").agg(F.coalesce(F.max("floor"), F.lit(0)).alias("floor"), F.coalesce(F.max(F.when(F.col("weak"), F.col("below"))), F.lit(0)).alias("rest"))
-    held = summed(parted.where("NOT weak")).join(sent(bounds, rows), "item").where(F.col("score") + F.col("rest") >= F.col("floor"))
-    held = A.checkpointed(held.select("item", "key", "doc_id", "score"))
-    weak = parted.where("weak").select("item", "term", "weight")
-    # one row for each document and frequent term that is still of use
-    frequent = matches.join(sent(weak.select("term").distinct(), rows), "term", "left_semi").select("term", "key", "worth")
-    more = held.join(sent(weak, rows), "item").join(frequent, ["key", "term"]).select("item", "key", "doc_id", (F.col("weight") * F.col("worth")).alias("score"))
-    total = held.unionByName(more).groupBy("item", "key").agg(F.first("doc_id").alias("doc_id"), F.sum("score").alias("score")).where("score > 0")
-    ranks = total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = []
+    for k in range(blocks):
+        block = F.broadcast(weighted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k))
+        # a document's postings lie together, and so do all its matches
+        dealt = found.select("term", "key", "doc_id", share("tf", "n", documents, words).alias("worth")).repartition(parts, "key")
+        sums = dealt.join(block, "term").groupBy("key", "item").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("weight") * F.col("worth")).alias("score"))
+        ranks = sums.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        best.append(A.checkpointed(ranks.select("item", "rank", "doc_id", "score")))
     names = asked.select("item", F.col("item_id").alias(query_id)).distinct()
-    result = A.checkpointed(ranks.join(names, "item").select(query_id, "rank", "doc_id", "score"))
     A.dropped(spark, path)
-    return result
+    return reduce(DataFrame.unionByName, best).join(names, "item").select(query_id, "rank", "doc_id", "score") if best else spark.createDataFrame([], f"{query_id} long, rank int, doc_id long, score long")
