@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.operators.browse import Sort
+from siltstone.operators.page_store import PageStore
+from siltstone.store import scratch
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,6 +25,24 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+#: Page stores of this process, by application, name and the state of the tables below.
+STORES: dict[tuple, PageStore] = {}
+
+
+def page_store(t: Tables, name: str, tables: tuple[str, ...], rows: Callable[[], DataFrame], sort: Sort) -> PageStore:
+    """The list's page store for these tables as they are, built when it is first asked for and kept in the shared folder."""
+    sc = t.spark.sparkContext
+    state = []
+    for table in tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/{table}.parquet")
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+        state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    key = (sc.applicationId, name, tuple(state))
+    if key not in STORES:
+        STORES[key] = PageStore.build(rows(), scratch(t.spark, name), sort)
+    return STORES[key]
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Registers fn(tables) under its name, with the SQL that gives the same rows."""
 
@@ -36,4 +58,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from siltstone.plans import aggregates, lists, payloads, texts, writes  # noqa: F401
+    from siltstone.plans import aggregates, lists, payloads, scans, stored, texts, writes  # noqa: F401

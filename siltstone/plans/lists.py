@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import browse as B
-from siltstone.plans import Tables, query
+from siltstone.operators.page_store import combinations, some
+from siltstone.plans import Tables, page_store, query
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
@@ -200,6 +201,13 @@ def nested_detail(t: Tables) -> DataFrame:
 BY_AMOUNT = B.Sort("amount", "amount_usd", descending=True)
 
 
+def listed(t: Tables) -> DataFrame:
+    """What the company list shows and filters by: the latest round, and the kinds of jobs there are."""
+    kinds = combinations(jobs(t).withColumn("open", F.col("closed_at").isNull()), "company_id", ["open", "role_family", "seniority", "flexible_signal"]).withColumnRenamed("company_id", "id")
+    rounds = latest_orders(t).select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("latest_round_id"), F.round("o_totalprice", 4).alias("latest_amount"))
+    return companies(t).join(kinds, "id", "left").join(rounds, "id", "left")
+
+
 @query("SELECT id, amount_usd, name FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS amount_usd, c_name AS name FROM customer) ORDER BY amount_usd DESC NULLS LAST, id LIMIT 51")
 def topk_sorts(t: Tables) -> DataFrame:
     return B.page_of(companies(t), BY_AMOUNT).select("id", "amount_usd", "name")
@@ -211,12 +219,10 @@ def topk_sorts(t: Tables) -> DataFrame:
 SELECT id, name, amount_usd, latest_round_id, round(latest_amount, 4) AS latest_amount FROM c WHERE amount_usd < 5000 OR (amount_usd = 5000 AND id > 10) OR amount_usd IS NULL ORDER BY amount_usd DESC NULLS LAST, id LIMIT 51"""
 )
 def keyset_page(t: Tables) -> DataFrame:
-    """The list page: one qualifying open job, the latest round, behind a cursor."""
-    f = B.Filters(families=("N",), flexible=True)
-    open_now = jobs(t).where(F.col("closed_at").isNull() & B.every(B.job_predicates(f))).select(F.col("company_id").alias("id"))
-    rounds = latest_orders(t).select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("latest_round_id"), F.round("o_totalprice", 4).alias("latest_amount"))
-    page = B.page_of(companies(t).join(open_now, "id", "left_semi"), BY_AMOUNT, B.Cursor("amount", 5000.0, 10))
-    return page.join(rounds, "id", "left").select("id", "name", "amount_usd", "latest_round_id", "latest_amount")
+    """The list page: one qualifying open job, the latest round, behind a cursor; from the list kept by amount."""
+    store = page_store(t, "companies-by-amount", ("customer", "orders", "lineitem"), lambda: listed(t), BY_AMOUNT)
+    fits = some("kinds", lambda k: k["open"], lambda k: k["role_family"] == "N", lambda k: k["flexible_signal"])
+    return store.frame(["id", "name", "amount_usd", "latest_round_id", "latest_amount"], B.Cursor("amount", 5000.0, 10), where=fits)
 
 
 @query("SELECT c_custkey AS id, replace(replace(rtrim(base64(encode('{\"s\":\"id\",\"k\":null,\"i\":' || c_custkey || '}')), '='), '+', '-'), '/', '_') AS cursor FROM customer")
@@ -295,13 +301,20 @@ def hq_city(t: Tables) -> DataFrame:
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey ORDER BY lower(c_name), c_custkey LIMIT 51"""
 )
 def company_page(t: Tables) -> DataFrame:
-    page = B.page_of(companies(t).withColumn("low", F.lower("name")), B.Sort("name", "low"))
-    n = t.orders.join(page.select(F.col("id").alias("o_custkey")), "o_custkey", "left_semi").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("rounds"))
-    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return page.join(places, F.col("c_nationkey") == F.col("n_nationkey")).join(n, F.col("id") == F.col("o_custkey"), "left").select("id", "name", F.col("n_name").alias("city"), F.col("r_name").alias("metro"), F.coalesce("rounds", F.lit(0).cast("long")).alias("rounds"))
+    """The first page by name, from the list kept in that order."""
+
+    def rows() -> DataFrame:
+        n = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("rounds"))
+        places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        named = companies(t).withColumn("low", F.lower("name")).join(places, F.col("c_nationkey") == F.col("n_nationkey")).join(n, "id", "left")
+        return named.select("id", "name", "low", F.col("n_name").alias("city"), F.col("r_name").alias("metro"), F.coalesce("rounds", F.lit(0).cast("long")).alias("rounds"))
+
+    return page_store(t, "companies-by-name", ("customer", "orders", "nation", "region"), rows, B.Sort("name", "low")).frame(["id", "name", "city", "metro", "rounds"])
 
 
 @query(f"WITH {JOBS_SQL} SELECT id, company_id, posted_at FROM jobs WHERE closed_at IS NULL AND flexible_signal ORDER BY posted_at DESC NULLS LAST, id LIMIT 51")
 def job_page(t: Tables) -> DataFrame:
-    rows = jobs(t).where(F.col("closed_at").isNull() & F.col("flexible_signal"))
-    return B.page_of(rows, B.Sort("posted", "posted_at", descending=True)).select("id", "company_id", "posted_at")
+    """The newest open jobs of a kind, from open jobs kept by date."""
+    rows = lambda: jobs(t).where(F.col("closed_at").isNull()).select("id", "company_id", "posted_at", "flexible_signal", "role_family")
+    store = page_store(t, "open-jobs-by-date", ("orders", "lineitem"), rows, B.Sort("posted", "posted_at", descending=True))
+    return store.frame(["id", "company_id", "posted_at"], where=F.col("flexible_signal"))
