@@ -12,6 +12,7 @@ refuse a rename onto a name that exists, as HDFS and local disks do.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
 
@@ -76,17 +77,30 @@ class Database:
     def _published(self, version: int, files: dict[str, str]) -> bool:
         """Whether the manifest became that version: no other commit has it."""
         fs, path = self._fs(f"{self.path}/manifests/{version:020d}")
-        draft = path.suffix(f".{uuid.uuid4().hex}")
+        text, draft = json.dumps(files, sort_keys=True).encode(), path.suffix(f".{uuid.uuid4().hex}")
+        if fs.getScheme() == "file":
+            # Hadoop's local rename looks first and then moves; a link is made by one of two only
+            target = path.toUri().getPath()
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(draft.toUri().getPath(), "wb") as f:
+                f.write(text)
+            try:
+                os.link(f.name, target)
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(f.name)
+            return True
         out = fs.create(draft)
-        out.write(bytearray(json.dumps(files, sort_keys=True).encode()))
+        out.write(bytearray(text))
         out.close()
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         how = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # never onto another
         try:
             jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(draft, path, how)
-        except Py4JJavaError as e:
+        except Py4JJavaError:
             fs.delete(draft, False)
-            if "FileAlreadyExistsException" in e.java_exception.getClass().getName() or fs.exists(path):
+            if fs.exists(path):
                 return False
             raise
         return True
