@@ -34,10 +34,11 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and each of its parent domains."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def host_suffixes(host: Column, counts: list[int]) -> Column:
+    """The last labels of the host, as many as each number in ``counts`` that it has."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    wanted = F.filter(F.array(*[F.lit(n) for n in counts]), lambda n: n <= labels) if counts else F.expr("cast(array() as array<int>)")
+    return F.transform(wanted, lambda n: F.call_function("substring_index", host, F.lit("."), -n))
 
 
 #: Rules up to which their table is broadcast.
@@ -48,10 +49,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     """Judges each row of ``pages`` by ``rules`` (host, path, verdict).
 
     A rule fits its host and all subdomains, if the URL's path starts with the
-    rule's path.  Only prefixes as long as some rule's path are made, so every
-    prefix that matters is made, whether or not it ends at a slash; the list of
-    those lengths is no longer than the longest rule.  Returns id, host, path,
-    rule, verdict.
+    rule's path.  Only prefixes as long as some rule's path and suffixes with as
+    many labels as some rule's host are made, so every expression that matters is
+    made, whether or not it ends at a slash, and a URL of any length makes no
+    more; the lists of those numbers are no longer than the longest rule.
+    Returns id, host, path, rule, verdict.
     """
     known = (
         rules.select(F.translate("host", UPPER, LOWER).alias("_rh"), F.col("path").alias("_rp"), F.col("verdict").alias("_rv"))
@@ -60,8 +62,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
         .withColumn("_rd", F.sha2("_rule", 256))
         .withColumn("_r8", short("_rd"))
     )
-    lengths = {r[0]: r[1] for r in known.groupBy(F.length("_rp")).count().collect()}
-    if sum(lengths.values()) <= MOST_SENT:
+    labels = F.length("_rh") - F.length(F.replace("_rh", F.lit("."), F.lit(""))) + 1
+    lengths, counts, many = known.agg(F.collect_set(F.length("_rp")), F.collect_set(labels), F.count(F.lit(1))).first()
+    if many <= MOST_SENT:
         known = F.broadcast(known)
     judged = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).withColumn("_host", url_host(F.col("_url"))).withColumn("_path", url_path(F.col("_url")))
     wanted = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("_path")) if lengths else F.expr("cast(array() as array<int>)")
@@ -69,7 +72,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     row = F.substring(F.sha2("_url", 256), 1, 32)
     terms = (
         judged.where(F.col("_host") != "")
-        .select(row.alias("_row"), "_path", F.explode(host_suffixes(F.col("_host"))).alias("_suffix"))
+        .select(row.alias("_row"), "_path", F.explode(host_suffixes(F.col("_host"), sorted(counts))).alias("_suffix"))
         .select("_row", "_suffix", F.explode(F.transform(wanted, lambda n: F.col("_path").substr(F.lit(1), n))).alias("_prefix"))
         .select("_row", F.sha2(F.concat("_suffix", "_prefix"), 256).alias("_d"))
         .withColumn("_d8", short("_d"))

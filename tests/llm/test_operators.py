@@ -57,6 +57,8 @@ def test_urls(spark):
     long = spark.createDataFrame([(1, "http://" + "a." * 200 + "example.com/en/" + "x/" * 50_000), (2, "http://" + "b" * 100_000)], "page_id long, url string")
     assert [(r.rule, r.verdict) for r in url_filter.filter_urls(long, rules).orderBy("page_id").collect()] == [("example.com/en/", "block"), (None, "allow")]
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
+    labels = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "example.com/en/x"), (2, "http://" + "." * 100_000), (3, "http://..example.com/en/"), (4, "http://com./")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in url_filter.filter_urls(labels, rules).orderBy("page_id").collect()] == [("example.com/en/", "block"), (None, "allow"), ("example.com/en/", "block"), (None, "allow")]
 
 
 # --- packing ----------------------------------------------------------------------------
