@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.unicode import fold
+from siltstone.functions.unicode import fold, idna
 
 # fixed values: legal and generic endings that a comparison name loses
 NAME_SUFFIXES = ("inc", "llc", "corp", "co", "ltd", "technologies", "labs", "holdings", "incorporated", "corporation", "limited", "company", "lp", "llp", "plc", "pbc")
@@ -22,13 +22,20 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def normalize_domain(value: Column) -> Column:
-    """The canonical host of a URL or bare host: lower case, one ``www.`` less; null if it is none."""
+def normalize_domain(value: Column, international: bool = False) -> Column:
+    """The canonical host of a URL or bare host: lower case, one ``www.`` less; null if it is none.
+
+    With ``international`` hosts with other than ASCII characters are encoded for
+    the DNS, which takes an Arrow-batched function; without it they are none.
+    """
     raw = F.trim(value)
     rest = F.regexp_replace(F.regexp_replace(raw, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"^//", "")
     host = F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*", 0), r"^.*@", "")
     host = F.lower(F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"[.]+$", ""))
     host = F.regexp_replace(host, r"^www[.]", "")
+    if international:
+        # only these need Unicode's tables
+        host = F.coalesce(idna(F.when(host.rlike(r"[^\x00-\x7F]"), host)), host)
     return F.when(~F.lower(raw).startswith("mailto:") & host.rlike(r"^[a-z0-9.-]+$") & host.contains("."), host)
 
 

@@ -43,3 +43,20 @@ def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def resolve_links(base: pd.Series, links: pd.Series) -> pd.Series:
+    """A page's links as absolute URLs, in order; those that cannot be resolved are left out."""
+    from urllib.parse import urljoin
+
+    def all_of(b, found):
+        out = []
+        for h in found if found is not None else ():
+            try:
+                out.append(urljoin(b or "", h or ""))
+            except ValueError:
+                continue
+        return [u for u in out if u]
+
+    return pd.Series([all_of(b, found) for b, found in zip(base, links)], dtype=object)

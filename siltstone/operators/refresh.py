@@ -128,7 +128,7 @@ def number(slug: Column) -> Column:
 def changed(s: Snapshot, source: str, m: Mapped, now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
     """All tables that the records change, and (rid, entity_id, created) of those that were written."""
     spark, t = s.database.spark, {name: s[name] for name in SCHEMAS}
-    given = m.records.withColumn("domain", X.normalize_domain(F.col("domain"))).withColumn("normalized_name", X.normalize_name(F.col("name")))
+    given = m.records.withColumn("domain", X.normalize_domain(F.col("domain"), international=True)).withColumn("normalized_name", X.normalize_name(F.col("name")))
     first_place = spark.createDataFrame([], "rid bigint, metro string")
     if m.places is not None:
         # a record's metro is that of its first known place

@@ -12,7 +12,7 @@ import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.stem import STOP, english, stems
@@ -46,6 +46,20 @@ def _holds(part: Part, hits: Column) -> Column:
     return ~found if excluded else found
 
 
+def _asked(q: str) -> tuple[list[list[Part]], list[str], bool]:
+    """A query's alternatives, its stems, and whether some alternative does nothing but exclude."""
+    asked = parse(q)
+    return asked, sorted({s for parts in asked for _, placed in parts for _, s in placed}), any(all(excluded for excluded, _ in parts) for parts in asked)
+
+
+def _matching(hits: DataFrame, asked: list[list[Part]], id_col: str, everyone: DataFrame | None) -> DataFrame:
+    """Ids with hits (id, position, stem) that meet a query; ``everyone`` has the ids that may lack any."""
+    found = hits.groupBy(id_col).agg(F.collect_list(F.struct("position", "stem")).alias("hits"))
+    if everyone is not None:
+        found = everyone.join(found, id_col, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<position: int, stem: string>>")))
+    return found.where(reduce(or_, [reduce(and_, [_holds(p, F.col("hits")) for p in parts]) for parts in asked])).select(id_col)
+
+
 def documents_with(docs: DataFrame, id_col: str, text_col: str, q: str) -> DataFrame:
     """Ids of the documents that a query matches, once each; a query of stop words only matches nothing.
 
@@ -53,20 +67,41 @@ def documents_with(docs: DataFrame, id_col: str, text_col: str, q: str) -> DataF
     different one is stemmed once.  Texts that have none are kept only if an
     alternative does nothing but exclude.
     """
-    asked = parse(q)
+    asked, wanted, excludes = _asked(q)
     if not asked:
         return docs.select(id_col).limit(0)
-    wanted = sorted({s for parts in asked for _, placed in parts for _, s in placed})
     # a stem has the first letter of its word
     words = docs.select(F.col(id_col), F.posexplode(terms(F.col(text_col))).alias("position", "word")).where(F.substring("word", 1, 1).isin(sorted({s[0] for s in wanted})))
     forms = words.select("word").distinct().where(~F.col("word").isin(sorted(STOP))).withColumn("stem", stems("word")).where(F.col("stem").isin(wanted))
-    hits = words.join(forms, "word").groupBy(id_col).agg(F.collect_list(F.struct("position", "stem")).alias("hits"))
-    if any(all(excluded for excluded, _ in parts) for parts in asked):
-        hits = docs.select(id_col).distinct().join(hits, id_col, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<position: int, stem: string>>")))
-    return hits.where(reduce(or_, [reduce(and_, [_holds(p, F.col("hits")) for p in parts]) for parts in asked])).select(id_col)
+    return _matching(words.join(forms, "word"), asked, id_col, docs.select(id_col).distinct() if excludes else None)
+
+
+class Index:
+    """Stored postings (term, id, positions), clustered by term, and the ids of all documents."""
+
+    def __init__(self, spark: SparkSession, path: str, id_col: str):
+        self.spark, self.path, self.id_col = spark, path, id_col
+        # footers are read once
+        self.postings, self.ids = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/ids")
+
+    @classmethod
+    def build(cls, docs: DataFrame, id_col: str, text_col: str, path: str) -> Index:
+        """Writes the postings in ranges of terms, so that a term's lie in few row groups."""
+        postings(docs, id_col, text_col).repartitionByRange("term", id_col).sortWithinPartitions("term", id_col).write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        docs.select(id_col).distinct().write.parquet(f"{path}/ids")
+        return cls(docs.sparkSession, path, id_col)
+
+    def documents_with(self, q: str) -> DataFrame:
+        """What ``documents_with`` gives for the documents of the index, from the postings of the query's stems alone."""
+        asked, wanted, excludes = _asked(q)
+        if not asked:
+            return self.ids.limit(0)
+        hits = self.postings.where(F.col("term").isin(wanted)).select(self.id_col, F.col("term").alias("stem"), F.explode("positions").alias("position"))
+        return _matching(hits, asked, self.id_col, self.ids if excludes else None)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, positions): the index to store for repeated searches."""
-    words = docs.select(F.col(id_col), F.posexplode(terms(F.col(text_col))).alias("position", "word")).where(~F.col("word").isin(sorted(STOP)))
-    return words.withColumn("term", stems("word")).groupBy("term", id_col).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    """(term, id, positions): the index to store for repeated searches; each different word is stemmed once."""
+    words = docs.select(F.col(id_col), F.posexplode(terms(F.col(text_col))).alias("position", "word"))
+    forms = words.select("word").distinct().where(~F.col("word").isin(sorted(STOP))).withColumn("term", stems("word"))
+    return words.join(forms, "word").groupBy("term", id_col).agg(F.array_sort(F.collect_list("position")).alias("positions"))

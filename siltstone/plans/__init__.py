@@ -25,12 +25,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-#: Page stores of this process, by application, name and the state of the tables below.
-STORES: dict[tuple, PageStore] = {}
+#: What is kept in the shared folder for lists and searches, by application, name and the state of the tables below.
+KEPT: dict[tuple, object] = {}
 
 
-def page_store(t: Tables, name: str, tables: tuple[str, ...], rows: Callable[[], DataFrame], sort: Sort) -> PageStore:
-    """The list's page store for these tables as they are, built when it is first asked for and kept in the shared folder."""
+def kept(t: Tables, name: str, tables: tuple[str, ...], build: Callable[[str], object]) -> object:
+    """What ``build`` writes to a path for these tables as they are: made when it is first asked for."""
     sc = t.spark.sparkContext
     state = []
     for table in tables:
@@ -38,9 +38,14 @@ def page_store(t: Tables, name: str, tables: tuple[str, ...], rows: Callable[[],
         files = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
         state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
     key = (sc.applicationId, name, tuple(state))
-    if key not in STORES:
-        STORES[key] = PageStore.build(rows(), scratch(t.spark, name), sort)
-    return STORES[key]
+    if key not in KEPT:
+        KEPT[key] = build(scratch(t.spark, name))
+    return KEPT[key]
+
+
+def page_store(t: Tables, name: str, tables: tuple[str, ...], rows: Callable[[], DataFrame], sort: Sort) -> PageStore:
+    """A list's page store."""
+    return kept(t, name, tables, lambda path: PageStore.build(rows(), path, sort))
 
 
 def query(sql: str | None = None, name: str | None = None):

@@ -92,10 +92,11 @@ def intake_7d(t: Tables) -> DataFrame:
     return t.orders.crossJoin(F.broadcast(now)).agg(F.count_if(F.col("o_orderdate") >= F.col("now") - F.expr("interval 7 days")).alias("fresh"))
 
 
-@query("SELECT p_partkey, p_name FROM part QUALIFY count(*) OVER (PARTITION BY p_name) = 1")
+@query("SELECT p_partkey, p_name, p_brand FROM part QUALIFY count(*) OVER (PARTITION BY p_name, p_brand, p_size) = 1")
 def unique_in_group(t: Tables) -> DataFrame:
-    alone = t.part.groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("p_partkey")).where(F.col("n") == 1)
-    return alone.select("p_partkey", "p_name")
+    """Parts that are alone with their name, brand and size."""
+    alone = t.part.groupBy("p_name", "p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("p_partkey")).where(F.col("n") == 1)
+    return alone.select("p_partkey", "p_name", "p_brand")
 
 
 @query("SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 15 THEN 'error' WHEN count(*) FILTER (event_type = 'signup') > 12 THEN 'partial' ELSE 'ok' END AS status FROM events GROUP BY user_id")

@@ -80,9 +80,9 @@ def filter_open(t: Tables) -> DataFrame:
     return jobs(t).where(F.col("closed_at").isNull()).select("id", "company_id")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('EN'))")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('RING'))")
 def filter_icontains(t: Tables) -> DataFrame:
-    return t.part.where(F.contains(F.lower("p_name"), F.lower(F.lit("EN")))).select("p_partkey", "p_name")
+    return t.part.where(F.contains(F.lower("p_name"), F.lower(F.lit("RING")))).select("p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")

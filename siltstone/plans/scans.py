@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.database import Database
+from siltstone.operators.refresh import SCHEMAS, refresh
 from siltstone.plans import Tables, query
 from siltstone.sources import connector
 from siltstone.store import scratch
@@ -114,3 +118,29 @@ def scan_pushed(t: Tables) -> DataFrame:
     path = scratch(t.spark, "lever")
     t.orders.select(text(F.col("o_orderkey")).alias("name"), text(F.col("o_custkey")).alias("target"), F.lit("2026-01-01").cast("timestamp").alias("fetched_at"), F.col("o_comment" if "o_comment" in t.orders.columns else "o_orderpriority").alias("payload")).write.parquet(path)
     return connector.payloads(t.spark, "lever", path, columns="name, target").where(F.col("target") == "7")
+
+
+@query(
+    """SELECT c_name AS name, 'c' || c_custkey || '.com' AS domain, CASE WHEN c_custkey % 3 <> 0 THEN 'line ' || c_custkey END AS one_liner, 1 AS sectors, CASE WHEN c_custkey % 2 = 0 THEN count(o_orderkey) ELSE 0 END AS open_job_count,
+CASE WHEN c_custkey % 2 = 0 THEN max(CAST(o_orderdate AS DATE)) END AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name"""
+)
+def refresh_sources(t: Tables) -> DataFrame:
+    """Customers with even keys are stored, with a board's token; a directory has all of them, boards have their orders as jobs."""
+    spark, k = t.spark, F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("c"), text(c), F.lit(".com"))
+    db = Database(spark, scratch(spark, "refresh"), SCHEMAS)
+    empty = db.snapshot()["companies"]
+    have = {"id": k, "name": F.col("c_name"), "normalized_name": F.lower("c_name"), "domain": name(k), "ats_provider": F.lit("greenhouse"), "ats_token": text(k), "open_job_count": F.lit(0)}
+    db.commit(lambda s: {"companies": t.customer.where(k % 2 == 0).select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema])})
+    hit = F.struct(F.col("c_name").alias("name"), F.concat(F.lit("s"), text(k)).alias("slug"), F.concat(F.lit("https://"), name(k)).alias("website"), F.when(k % 3 != 0, F.concat(F.lit("line "), text(k))).alias("one_liner"), F.array("c_mktsegment").alias("industries"))
+    pages = t.customer.groupBy("c_nationkey").agg(F.to_json(F.struct(F.array(F.struct(F.collect_list(hit).alias("hits"))).alias("results"))).alias("payload"))
+    job = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("Job "), "o_orderstatus").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'").alias("updated_at"))
+    boards = t.orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("payload"))
+    fetched = F.lit("2026-01-01").cast("timestamp").alias("fetched_at")
+    for source, rows in (("ycombinator", pages.select(text(F.col("c_nationkey")).alias("name"), F.lit(None).cast("string").alias("target"), fetched, "payload")), ("greenhouse", boards.select(F.lit("jobs.json").alias("name"), text(F.col("o_custkey")).alias("target"), fetched, "payload"))):
+        path = scratch(spark, source)
+        rows.write.parquet(path)
+        refresh(db, source, path, now=datetime(2026, 1, 2, tzinfo=UTC))
+    s = db.snapshot()
+    sectors = s["sectors"].groupBy(F.col("company_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("sectors"))
+    return s["companies"].join(sectors, "id", "left").select("name", "domain", "one_liner", "sectors", "open_job_count", F.to_date("latest_job_posted_at").alias("latest"))

@@ -9,7 +9,8 @@ from siltstone.functions import classify as C
 from siltstone.functions import numbers as N
 from siltstone.functions import text as X
 from siltstone.operators import similar as S
-from siltstone.plans import Tables, query
+from siltstone.operators.search import Index, documents_with
+from siltstone.plans import Tables, kept, query
 
 HOST = r"regexp_replace(lower(regexp_replace(regexp_extract(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*'), ':[0-9]*$', '')), '^www[.]', '')"
 
@@ -238,9 +239,9 @@ def header_fields(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", *[v.alias(k) for k, v in parse(line).items()])
 
 
-@query(r"SELECT doc_id, nullif(rtrim(regexp_extract(text, '^\s*([A-Z][\w.&''+-]*(?:\s+[A-Z0-9][\w.&''+-]*){0,3})', 1), ' .,:;-'), '') AS name FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, nullif(rtrim(regexp_extract(text, '^\s*([A-Z][\w.&''+-]*(?:\s+[A-Z0-9][\w.&''+-]*){0,3})', 1), ' .,:;-'), '') AS name FROM documents")
 def leading_name(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("lang") == "en").select("doc_id", X.leading_name(F.col("text")).alias("name"))
+    return t.documents.select("doc_id", X.leading_name(F.col("text")).alias("name"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'acme' || page_id || '.io' ELSE regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www[.]', '') END AS domain FROM pages")
@@ -364,15 +365,18 @@ def safe_int(t: Tables) -> DataFrame:
 TERMS = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')"
 
 
+def search_index(t: Tables) -> Index:
+    """The postings of all documents."""
+    return kept(t, "postings", ("documents",), lambda path: Index.build(t.documents, "doc_id", "text", path))
+
+
 @query(
     rf"""WITH w AS (SELECT doc_id, unnest({TERMS}) AS w FROM documents)
 SELECT doc_id FROM w WHERE w IN ('license', 'licenses', 'licensed', 'licensing', 'onst') GROUP BY doc_id HAVING bool_or(w LIKE 'licens%') AND bool_or(w = 'onst')"""
 )
 def search_fts(t: Tables) -> DataFrame:
-    """Documents with every term in any form, through postings of the terms asked for."""
-    from siltstone.operators.search import documents_with
-
-    return documents_with(t.documents, "doc_id", "text", "Licensing here of onst")
+    """Documents with every term in any form, through the stored postings of the terms asked for."""
+    return search_index(t).documents_with("Licensing here of onst")
 
 
 @query(
@@ -381,9 +385,25 @@ SELECT doc_id FROM d WHERE regexp_matches(s, ' rights? reserve[sd]? ') OR (regex
 )
 def search_phrase(t: Tables) -> DataFrame:
     """A phrase, or a word without another one."""
-    from siltstone.operators.search import documents_with
+    return search_index(t).documents_with('"right reserves" or tokens -licensed')
+
+
+@query(
+    rf"""WITH w AS (SELECT doc_id, unnest({TERMS}) AS w FROM documents)
+SELECT doc_id FROM w WHERE w IN ('license', 'licenses', 'licensed', 'licensing', 'onst') GROUP BY doc_id HAVING bool_or(w LIKE 'licens%') AND bool_or(w = 'onst')"""
+)
+def search_scan(t: Tables) -> DataFrame:
+    """The same search without an index: only words that begin like a term leave the texts."""
+    return documents_with(t.documents, "doc_id", "text", "Licensing here of onst")
 
-    return documents_with(t.documents, "doc_id", "text", '"right reserves" or tokens -licensed')
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, {TERMS} AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws)))::INT AS p FROM d)
+SELECT doc_id, list(p ORDER BY p) AS positions FROM w WHERE w IN ('license', 'licenses', 'licensed', 'licensing') GROUP BY doc_id"""
+)
+def search_postings(t: Tables) -> DataFrame:
+    """One term's postings in the index of all documents."""
+    return search_index(t).postings.where(F.col("term") == "licens").select("doc_id", "positions")
 
 
 ROUND_RULES = (("pre_seed", ("pre-seed",)), ("series_d_plus", ("series d", "growth round")), ("series_a", ("series a",)), ("convertible_note", ("convertible note",)), ("seed", ("seed round", "seed")))

@@ -290,11 +290,12 @@ def resolve_candidates(t: Tables) -> DataFrame:
     return R.candidates(p.where("id % 2 = 1").withColumnRenamed("id", "rid"), p.where("id % 2 = 0"), "rid", threshold=0.5)
 
 
-@query(f"WITH {STORED}, u AS (SELECT domain, min(id) AS id FROM s WHERE domain IS NOT NULL GROUP BY 1 HAVING count(DISTINCT metro) = 1) SELECT domain, id FROM u")
+@query("SELECT 'n' || c_custkey % 1000 AS name, min(c_custkey) AS id FROM customer WHERE c_custkey % 1000 % 3 <> 0 GROUP BY 1 HAVING count(DISTINCT c_nationkey) = 1")
 def unique_lookup(t: Tables) -> DataFrame:
-    """Names that occur in one place only."""
-    s = stored(t).where(F.col("domain").isNotNull())
-    return s.groupBy("domain").agg(F.count_distinct("metro").alias("c"), F.min("id").alias("id")).where(F.col("c") == 1).select("domain", "id")
+    """Names that occur in one place only, whatever the number of entities there."""
+    k = F.col("c_custkey") % 1000
+    s = t.customer.where(k % 3 != 0).groupBy(F.concat(F.lit("n"), k.cast("string")).alias("name"))
+    return s.agg(F.count_distinct("c_nationkey").alias("c"), F.min("c_custkey").alias("id")).where(F.col("c") == 1).select("name", "id")
 
 
 @query(

@@ -124,7 +124,7 @@ def directory(df: DataFrame, keys: list[str], payload: str = "payload") -> DataF
     sectors = F.array_distinct(F.filter(F.concat(F.coalesce("h.industries", none), F.coalesce("h.tags", none), F.array("h.subindustry", batch_label(F.col("h.batch")))), lambda s: s.isNotNull() & (s != "")))
     places = F.filter(F.transform(F.split(F.coalesce("h.all_locations", F.lit("")), r"\s*;\s*"), lambda p: F.transform(F.slice(F.split(p, r"\s*,\s*"), 1, 3), lambda x: F.trim(x))), lambda p: F.size(p) >= 2)
     return rows.select(
-        *keys, X.collapse(F.col("h.name")).alias("name"), F.coalesce("h.slug", "h.objectID").alias("external_id"), X.normalize_domain(F.col("h.website")).alias("domain"), F.col("h.one_liner").alias("one_liner"),
+        *keys, X.collapse(F.col("h.name")).alias("name"), F.coalesce("h.slug", "h.objectID").alias("external_id"), X.normalize_domain(F.col("h.website"), international=True).alias("domain"), F.col("h.one_liner").alias("one_liner"),
         N.safe_int(F.col("h.team_size")).cast("int").alias("employee_est"), sectors.alias("sectors"), places.alias("locations"), F.lower("h.status").alias("status"), F.lower("h.stage").alias("stage"),
     ).where(F.coalesce(F.col("name"), F.lit("")) != "")
 

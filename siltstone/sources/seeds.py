@@ -24,7 +24,7 @@ def load_seeds(spark: SparkSession, path: str) -> DataFrame:
             entry = entry if isinstance(entry, dict) else {"name": entry}
             rows.append((entry["name"], entry.get("website"), entry.get("sector") or group.get("label") or key.replace("_", " ").title(), key))
     seeds = spark.createDataFrame(rows, "name string, website string, sector string, group string")
-    return seeds.withColumn("domain", X.normalize_domain(F.col("website"))).withColumn("external_id", X.slugify(F.col("name")))
+    return seeds.withColumn("domain", X.normalize_domain(F.col("website"), international=True)).withColumn("external_id", X.slugify(F.col("name")))
 
 
 def verdict(code: Column) -> Column:

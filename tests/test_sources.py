@@ -110,3 +110,28 @@ def test_company_site(spark):
     a = r["acme.com"]
     assert (a.pages, a.one_liner, a.addresses) == (2, "We make it", ["hi@acme.com"])
     assert [(x.kind, x.url) for x in a.links] == [("github", "https://github.com/acme"), ("linkedin_company", "https://www.linkedin.com/company/acme/")]
+
+
+def test_international_hosts_and_resolved_links(spark):
+    from siltstone.functions import text as X
+    from siltstone.sources import sites
+
+    hosts = ["https://www.Bücher.de/x", "bücher.de:80", "BÜCHER.DE.", "plain.com", "http://ü", "mailto:a@bücher.de", None, "xn--bcher-kva.de"]
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(hosts)], "k int, h string")
+    got = [r.d for r in df.select("k", X.normalize_domain(F.col("h"), international=True).alias("d")).orderBy("k").collect()]
+    assert got == ["xn--bcher-kva.de", "xn--bcher-kva.de", "xn--bcher-kva.de", "plain.com", None, None, None, "xn--bcher-kva.de"]
+    page = '<a href="//www.linkedin.com/company/acme">in</a><a href="mailto:hi@acme.com">m</a><a href="http://[bad">x</a><a href="../team">t</a>'
+    pages = spark.createDataFrame([("https://bücher.de/about/us", page), ("https://bücher.de/", None)], "url string, html string")
+    row = sites.site(pages).collect()
+    assert len(row) == 1 and row[0].domain == "xn--bcher-kva.de" and row[0].pages == 2 and row[0].addresses == ["hi@acme.com"]
+    assert [link.url for link in row[0].links] == ["https://www.linkedin.com/company/acme"]
+
+
+def test_index_finds_what_the_scan_finds(spark, tmp_path):
+    from siltstone.operators.search import Index, documents_with
+
+    docs = spark.createDataFrame([(1, "Licensed to the public"), (2, "A public licence"), (3, "rights reserved here"), (4, "reserved rights"), (5, None), (6, ""), (7, "right now reserves")], "doc_id long, text string")
+    index = Index.build(docs, "doc_id", "text", str(tmp_path / "i"))
+    for q in ("licensing public", '"rights reserved"', "-public", "the of", 'rights or licence -public', "", "nothing"):
+        ids = lambda df: sorted(r.doc_id for r in df.collect())
+        assert ids(index.documents_with(q)) == ids(documents_with(docs, "doc_id", "text", q)), q
