@@ -21,11 +21,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .components import components, hubs, looked_up
+from .components import HUB, components, hubs, looked_up
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -210,10 +209,15 @@ def _described(marked: DataFrame) -> DataFrame:
 
 
 def first_meetings(texts: DataFrame) -> DataFrame:
-    """(key, a, b): each text b of a band with one text a of it, another one in each band; keys of one text have none."""
+    """(key, a, b): each text b of a band with one text a of it, another one in each band; keys of one text have none.
+
+    The one text comes from partial aggregates; a band's rows then look it up in parts.
+    """
     rows = texts.select(F.explode("keys").alias("key"), F.col("mark").alias("b"))
-    in_turn = W.partitionBy("key").orderBy(F.xxhash64("key", "b"), "b")
-    return rows.select("key", F.first("b").over(in_turn).alias("a"), "b").where(F.col("a") != F.col("b"))
+    bands_ = rows.groupBy("key").agg(F.min_by("b", F.struct(F.xxhash64("key", "b"), "b")).alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    bands_ = A.checkpointed(A.compact(bands_))
+    many = bands_.where(F.col("size") > HUB).select(F.col("key").alias("hub"), F.ceil(F.col("size") / HUB).cast("int").alias("ways"))
+    return looked_up(rows, "key", "b", bands_.select(F.col("key").alias("n"), "a"), F.broadcast(many) if many.count() <= MOST_SENT else many).where("a != b")
 
 
 def _compared(rows: list[tuple]) -> Iterator[tuple[int, int]]:
