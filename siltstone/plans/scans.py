@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from siltstone.database import Database
 from siltstone.operators.refresh import SCHEMAS, refresh
+from siltstone.operators.schedule import Schedule
 from siltstone.plans import Tables, query
 from siltstone.sources import connector
+from siltstone.sources.cache import ResponseCache
+from siltstone.sources.regions import ALIASES, Regions, violations
 from siltstone.store import scratch
 
 text = lambda c: c.cast("string")
@@ -144,3 +147,45 @@ def refresh_sources(t: Tables) -> DataFrame:
     s = db.snapshot()
     sectors = s["sectors"].groupBy(F.col("company_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("sectors"))
     return s["companies"].join(sectors, "id", "left").select("name", "domain", "one_liner", "sectors", "open_job_count", F.to_date("latest_job_posted_at").alias("latest"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'new' || page_id ELSE 'old' || page_id END AS etag, CASE WHEN page_id % 9 <> 0 THEN page_id % 3 = 0 END AS fresh, CASE WHEN page_id % 9 <> 0 THEN strlen(html) END AS bytes
+FROM pages UNION ALL SELECT -page_id - 1, NULL, NULL, NULL FROM pages"""
+)
+def response_cache(t: Tables) -> DataFrame:
+    """Pages stored, every third again two days later, every ninth of these damaged; compacted between; asked for with as many unknown ones."""
+    cache, k = ResponseCache(t.spark, scratch(t.spark, "cache")), F.col("page_id")
+    url = lambda c: F.concat(F.lit("https://x.example/"), text(c))
+    answer = lambda pages, etag: pages.select(url(k).alias("url"), F.lit(200).alias("status_code"), F.create_map(F.lit("a"), F.lit("b")).alias("headers"), F.col("html").cast("binary").alias("body"), F.concat(F.lit(etag), text(k)).alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    cache.put(answer(t.pages, "old"), datetime(2026, 1, 1, tzinfo=UTC))
+    cache.compact()
+    cache.put(answer(t.pages.where(k % 3 == 0), "new"), datetime(2026, 1, 3, tzinfo=UTC))
+    damaged = F.when(F.substring("etag", 4, 20).cast("long") % 9 == 0, F.concat(F.col("body"), F.lit("x").cast("binary"))).otherwise(F.col("body"))
+    cache.db.commit(lambda s: {"recent": s["recent"].withColumn("body", damaged)})
+    asked = t.pages.select("page_id", url(k).alias("url")).unionByName(t.pages.select((-k - 1).alias("page_id"), url(-k - 1).alias("url")))
+    got = cache.get(asked, F.lit("2026-01-03 12:00:00").cast("timestamp"))
+    return got.select("page_id", "etag", "fresh", F.octet_length("body").cast("long").alias("bytes"))
+
+
+@query(
+    """SELECT event_id FROM events WHERE minute(ts) % 10 = 0 AND hour(ts) BETWEEN 6 AND 20 AND month(ts) <> 2 AND (day(ts) IN (1, 15) OR dayofweek(ts) BETWEEN 1 AND 3)"""
+)
+def schedule_fires(t: Tables) -> DataFrame:
+    """Events in a minute in which a schedule fires: days of the month or weekdays, since both are restricted."""
+    return t.events.where(Schedule.parse("*/10 6-20 1,15 jan,mar-dec mon-wed").matches(F.col("ts"))).select("event_id")
+
+
+@query(
+    """WITH r AS (SELECT metro, city, row_number() OVER (PARTITION BY lower(metro) ORDER BY place) AS n, place FROM (SELECT 'regions.' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS place, 'M' || c_nationkey // 2 AS metro, NULL AS city FROM customer GROUP BY c_nationkey)),
+c AS (SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS place, c_name AS city, row_number() OVER (PARTITION BY c_custkey // 7 ORDER BY c_custkey) AS n FROM customer)
+SELECT place, 'metro twice' AS rule, metro AS subject FROM r WHERE n > 1 UNION ALL SELECT place, 'city twice', 'City ' || CAST(substr(place, 2) AS BIGINT) // 7 FROM c WHERE n > 1"""
+)
+def region_rules(t: Tables) -> DataFrame:
+    """Customers as cities, seven to a name, their nations as regions, two to a metro: what breaks the rules of a region file."""
+    nation = t.customer.select("c_nationkey").distinct()
+    regions = nation.select(F.concat(F.lit("regions."), F.lpad(text(F.col("c_nationkey")), 3, "0")).alias("place"), F.concat(F.lit("M"), text(F.floor(F.col("c_nationkey") / 2))).alias("metro"), F.lit(True).alias("enabled"))
+    k = F.col("c_custkey")
+    cities = t.customer.select(F.concat(F.lit("c"), F.lpad(text(k), 9, "0")).alias("place"), F.lit("M").alias("metro"), F.concat(F.lit("City "), text(F.floor(k / 7))).alias("city"), F.when(k % 2 == 0, "co").otherwise("CO").alias("state"))
+    none = t.spark.createDataFrame([], ALIASES)
+    return violations(Regions(regions, cities, none, t.spark.createDataFrame([], "place string, rule string, subject string")))
