@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -184,14 +184,25 @@ def filing_order(t: Tables) -> DataFrame:
     return rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "accession"))), lambda s: s["accession"].cast("string")), ",").alias("filings"))
 
 
-@query("SELECT page_id, 'Ada Lovelace' AS full_name, 'Chief of Engines' AS title, 'https://www.linkedin.com/in/ada' || page_id AS url FROM pages WHERE page_id % 2 = 0")
+@query("SELECT page_id, 'Ada Lovelace' AS full_name, CASE page_id % 6 WHEN 0 THEN 'Chief of Engines' WHEN 1 THEN 'CTO' WHEN 5 THEN 'CTO' END AS title, 'https://www.linkedin.com/in/Ada' || page_id AS url FROM pages WHERE page_id % 6 <> 3")
 def people_markup(t: Tables) -> DataFrame:
-    """Cards put on every other page; the others' cards hold two headings and name nobody."""
+    """Raw pages with a card of six kinds: heading above the link, the link around the card, the name in the link beside a section's
+    heading, two profiles in one card, a title that is too long, the link within the heading."""
     from siltstone.sources.people import people
 
-    link = F.concat(F.lit('<a href="https://www.linkedin.com/in/ada'), F.col("page_id").cast("string"), F.lit('">in</a>'))
-    card = F.concat(F.lit("<div><h3>Ada Lovelace</h3><p>Chief of Engines</p>"), F.when(F.col("page_id") % 2 == 0, "").otherwise("<h3>Grace Hopper</h3>"), link, F.lit("</div>"))
-    return t.pages.select("page_id", F.inline(people(F.concat(F.lit("<main>"), card, F.lit("</main>")))))
+    k = F.col("page_id")
+    url = F.concat(F.lit("linkedin.com/in/Ada"), k.cast("string"))
+    card = lambda *parts: F.concat(F.lit("<div>"), *[p if isinstance(p, Column) else F.lit(p) for p in parts], F.lit("</div>"))
+    kinds = [
+        card("<h3>Ada Lovelace</h3><p>Chief of Engines</p><a href='https://de.", url, "?x=1'>in</a>"),
+        card("<a href='//", url, "/'><img src=a><h3>Ada Lovelace, PhD</h3><p>CTO</p></a>"),
+        card("<h3>Our Team</h3><p>Chief</p><p><a href='https://www.", url, "'>Ada Lovelace</a></p>"),
+        card("<h3>Ada Lovelace</h3><a href='https://", url, "'>in</a><a href='https://linkedin.com/in/other'>in</a>"),
+        card("<h3>Ada Lovelace</h3><p>", F.repeat(F.lit("long "), 40), "</p><a href='https://", url, "'>in</a>"),
+        card("<h3><a href='https://", url, "#top'>Ada Lovelace</a></h3><!-- x --><p></p><p>CTO</p>"),
+    ]
+    pick = F.element_at(F.array(*kinds), (k % 6 + 1).cast("int"))
+    return t.pages.select("page_id", F.inline(people(F.concat(F.lit("<main>"), pick, F.lit("</main>"), F.coalesce("html", F.lit(""))))))
 
 
 @query("SELECT page_id, NOT (page_id % 3 = 0 OR page_id % 3 = 1 AND page_id % 2 = 0) AS allowed FROM pages")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.database import Database
-from siltstone.operators import denormal, fold_all, history
+from siltstone.operators import denormal, fold_all, history, vocabulary
 from siltstone.plans import Tables, query
 from siltstone.store import cut, scratch
 
@@ -121,3 +121,20 @@ def history_as_of(t: Tables) -> DataFrame:
     seen = reduce(DataFrame.unionByName, [scan_of(t, n).withColumn("at", ntz(day)) for n, day in enumerate(SCANS)])
     scans = t.spark.createDataFrame([(d,) for d in SCANS], "at string").select(F.col("at").cast("timestamp_ntz").alias("at"))
     return history.as_of(history.periods(seen, scans, ["o_orderkey"], "at"), ntz("1996-06-01")).select("o_orderkey")
+
+
+@query(
+    """SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '4-NOT SPECIFIED' THEN 5 WHEN '5-LOW' THEN 6 ELSE 3 END AS INTEGER) AS before,
+CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 5 WHEN '4-NOT SPECIFIED' THEN 6 END AS INTEGER) AS after FROM orders"""
+)
+def vocabulary_edit(t: Tables) -> DataFrame:
+    """The places of orders' priorities before and after one is added first and one is removed with its rows; the old version is read again."""
+    db = Database(t.spark, scratch(t.spark, "vocabulary"), {vocabulary.TABLE: vocabulary.SCHEMA, "orders": "o_orderkey bigint, o_orderpriority string"})
+    db.commit(lambda s: {"orders": t.orders.select("o_orderkey", "o_orderpriority")})
+    old = vocabulary.create(db, "priority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "unused", "4-NOT SPECIFIED", "5-LOW"])
+    vocabulary.add(db, "priority", "0-NOW")
+    vocabulary.add(db, "priority", "2b", after="2-HIGH")
+    vocabulary.remove(db, "priority", "unused", [("orders", "o_orderpriority")])
+    vocabulary.remove(db, "priority", "5-LOW", [("orders", "o_orderpriority")])
+    placed = lambda s, name: s["orders"].select("o_orderkey", vocabulary.place(s, "priority", F.col("o_orderpriority")).alias(name))
+    return placed(db.snapshot(old), "before").join(placed(db.snapshot(), "after"), "o_orderkey", "left")

@@ -83,8 +83,21 @@ def test_people():
 
     page = """<div class=team><div><h3>Ada Lovelace</h3><span>CEO &amp; Founder</span><p><a href="https://linkedin.com/in/ada">in</a></p></div>
     <div><h3>Grace Hopper</h3><a href="https://linkedin.com/in/g1">in</a><a href="https://linkedin.com/in/g2">in</a></div><a href="https://linkedin.com/in/nobody">x</a></div>"""
-    assert people_of(page) == [("Ada Lovelace", "CEO & Founder", "https://linkedin.com/in/ada")]
+    assert people_of(page) == [("Ada Lovelace", "CEO & Founder", "https://www.linkedin.com/in/ada")]
     assert people_of("") == people_of(None) == []
+    one = lambda html: people_of(html) and people_of(html)[0][:2]
+    link = '<a href="https://www.linkedin.com/in/Jo-1">{}</a>'
+    jane = ("Jane Doe", None)
+    assert one("<a href='//linkedin.com/in/jd/?a'><img><h2>Jane Doe, M.D., MBA</h2><p>CEO\u200b &amp; Founder</p></a>") == ("Jane Doe", "CEO & Founder")
+    assert one("<div><h3>Leadership</h3><p>Boss</p>" + link.format("Jane Doe") + "</div>") == jane  # the heading is not hers, nor its next line
+    assert one("<h3>" + link.format("Jane Doe") + "</h3><p>jane doe</p><p>CTO</p>") == jane  # only what comes first
+    assert one("<div><h3>Jane Doe</h3><p>" + "x" * 81 + "</p>" + link.format("in") + "</div>") == jane
+    deep = "<div>" * 4 + link.format("in") + "</div>" * 4
+    assert one(f"<section><h3>Jane Doe</h3>{deep}</section>") == [] and one(f"<section><h3>Jane Doe</h3>{deep[5:-6]}</section>") == ("Jane Doe", "in")
+    assert one(link.format("Visit Our LinkedIn")) == [] == one(link.format("jane doe")) == one(link.format("Jane 2 Doe"))
+    assert people_of("<a href='https://linkedin.com/company/x'>Jane Doe</a><a href='https://notlinkedin.com/in/x'>Jane Doe</a>") == []
+    two = "".join(f"<div><a href='https://linkedin.com/in/{s}'>{n}</a></div>" for s, n in (("a", "Jane Doe"), ("b", "jane Doe X"), ("c", "JANE DOE"), ("a", "Other Name"), ("d", "Max Roe")))
+    assert [p[0] for p in people_of(two)] == ["jane Doe X", "Max Roe"]
 
 
 def test_board_records(spark):
