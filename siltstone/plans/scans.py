@@ -15,6 +15,7 @@ from siltstone.sources import connector
 from siltstone.sources.cache import ResponseCache
 from siltstone.sources.regions import ALIASES, Regions, violations
 from siltstone.store import scratch
+from siltstone.streaming import slots
 
 text = lambda c: c.cast("string")
 
@@ -189,3 +190,13 @@ def region_rules(t: Tables) -> DataFrame:
     cities = t.customer.select(F.concat(F.lit("c"), F.lpad(text(k), 9, "0")).alias("place"), F.lit("M").alias("metro"), F.concat(F.lit("City "), text(F.floor(k / 7))).alias("city"), F.when(k % 2 == 0, "co").otherwise("CO").alias("state"))
     none = t.spark.createDataFrame([], ALIASES)
     return violations(Regions(regions, cities, none, t.spark.createDataFrame([], "place string, rule string, subject string")))
+
+
+@query(
+    """WITH e AS (SELECT event_id, 'h' || user_id % 40 AS host, ts, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS n FROM events)
+SELECT event_id, epoch_ms(CAST(max(epoch_us(ts) // 1000 - n * 7200000) OVER (PARTITION BY host ORDER BY n) + n * 7200000 AS BIGINT)) AS slot FROM e WHERE n <= 100"""
+)
+def host_slots(t: Tables) -> DataFrame:
+    """Events as requests of forty hosts: two hours apart each, a hundred at most."""
+    rows = t.events.select(F.concat(F.lit("h"), text(F.col("user_id") % 40)).alias("host"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.lit(7_200_000).cast("long").alias("delay"))
+    return slots.admitted(rows, budget=100).select(F.col("id").alias("event_id"), F.col("slot").cast("timestamp_ntz").alias("slot"))
