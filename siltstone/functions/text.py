@@ -198,7 +198,7 @@ def safe_url(url: Column) -> Column:
 
 def first_domain(text: Column, blocked: tuple[str, ...], strip: tuple[str, ...] = ()) -> Column:
     """The host of the first link that is on no blocked host or below one; career-like first labels dropped."""
-    hosts = F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"')\]]+)"), 1), normalize_domain)
+    hosts = F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"')\]]+)"), 1), lambda u: normalize_domain(u))
     block = "|".join(b.replace(".", "[.]") for b in blocked)
     good = F.filter(hosts, lambda h: h.isNotNull() & ~h.rlike(rf"(^|[.])({block})$"))
     host = F.get(good, 0)
