@@ -128,12 +128,18 @@ def search_text(*cols: Column) -> Column:
 # --- HTML, by patterns -----------------------------------------------------------
 
 
-def html_title(html: Column) -> Column:
-    return F.nullif(collapse(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
-def unescape(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+def html_title(html: Column, entities: dict[str, str] = ENTITIES) -> Column:
+    """A page's title, its white space (HTML's, which has no vertical tab) collapsed."""
+    found = unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), entities)
+    return F.nullif(F.trim(F.regexp_replace(found, r"[ \t\n\f\r]+", " ")), F.lit(""))
+
+
+def unescape(text: Column, entities: dict[str, str] = ENTITIES) -> Column:
+    """Entities decoded in their order, that of the ampersand last."""
+    for entity, char in entities.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
@@ -141,7 +147,7 @@ def unescape(text: Column) -> Column:
 def html_links(html: Column) -> Column:
     """The non-empty href values in document order."""
     found = F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)
-    return F.filter(F.transform(found, unescape), lambda u: F.trim(u) != "")
+    return F.filter(F.transform(found, lambda u: unescape(u)), lambda u: F.trim(u) != "")
 
 
 def html_to_text(html: Column, limit: int | None = None) -> Column:
