@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import classify as C
 from siltstone.functions import numbers as N
 from siltstone.functions import text as X
+from siltstone.store import cut
 
 HITS = "struct<hits: struct<total: struct<value: bigint, relation: string>, hits: array<struct<_id: string, _source: struct<adsh: string, ciks: array<string>, file_date: string, form: string, biz_locations: array<string>>>>>>"
 
@@ -138,7 +139,9 @@ def threads(items: DataFrame, newest: int, kids: int, payload: str = "payload")
     stories = got.where(F.lower("title").rlike(r"^ask hn:\s*who is hiring\?")).orderBy(F.desc("time"), F.desc("id")).limit(newest)
     wanted = stories.select(F.col("id").alias("story"), F.posexplode(F.slice("kids", 1, kids)).alias("position", "comment"))
     alive = got.where(~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("dead", F.lit(False)) & F.col("text").isNotNull())
-    return wanted.join(alive.select(F.col("id").alias("comment"), "by", X.html_to_text(F.col("text"), C.BODY).alias("text"), F.timestamp_seconds("time").alias("posted_at")), "comment")
+    # a few threads with a few comments each; cut, so that no filter on what is read from texts moves to all comments
+    found = cut(F.broadcast(wanted).join(alive.select(F.col("id").alias("comment"), "by", F.col("text").alias("html"), "time"), "comment"))
+    return found.select("comment", "story", "position", "by", X.html_to_text(F.col("html"), C.BODY).alias("text"), F.timestamp_seconds("time").alias("posted_at"))
 
 
 def header_fields(line: Column) -> dict[str, Column]:
