@@ -23,7 +23,7 @@ text = lambda c: c.cast("string")
 def archived(t: Tables, source: str, rows: DataFrame, **options: object) -> DataFrame:
     """``rows`` (name, target, payload) written as the source's archive, and scanned from there."""
     path = scratch(t.spark, source)
-    rows.select("name", "target", F.lit("2026-01-01").cast("timestamp").alias("fetched_at"), "payload").write.parquet(path)
+    rows.select("name", "target", F.lit("2026-01-01").cast("timestamp").alias("fetched_at"), "payload").write.option("parquet.block.size", 8 << 20).parquet(path)
     return connector.scan(t.spark, source, path, **options)
 
 

@@ -4,7 +4,8 @@ Each of the registry's sources is a format of its name.  A payload is a file;
 its folder below the source's is the target it answers for (a board's token, a
 host), if there is one.  Many small payloads are kept in archives: Parquet files
 of rows (name, target, fetched_at, payload).  Batches list files once, on the
-driver, and read them in parts of about ``PART_BYTES``; filters on name, target
+driver, and read them, archives by row groups, in parts of about ``PART_BYTES``,
+as Arrow batches of about ``BATCH_BYTES``; filters on name, target
 and fetched_at leave out payloads before they are opened, ``columns`` without
 payload opens no plain file and reads no text of an archive, and ``limit`` takes
 the first payloads by target and name.  Streams read files in the order in which
@@ -29,6 +30,7 @@ from siltstone.sources.registry import MAPPERS
 
 COLUMNS = {"name": "string", "target": "string", "fetched_at": "timestamp", "payload": "string"}
 PART_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 
 
 class Saved(NamedTuple):
@@ -39,6 +41,7 @@ class Saved(NamedTuple):
     target: str | None
     written: int  # nanoseconds since 1970
     size: int
+    groups: tuple[int, ...] | None = None  # an archive's row groups, all if None
 
     @property
     def fetched_at(self) -> datetime:
@@ -74,26 +77,62 @@ def utc(value: object) -> datetime | None:
     return value.replace(tzinfo=UTC) if value is not None and value.tzinfo is None else value
 
 
-def wanted(columns: Sequence[str], system: object, files: Sequence[tuple[Saved, int | None]], keeps: Callable[[dict], bool] = lambda row: True) -> Iterator[tuple]:
-    """Rows of the columns asked for, of each file as many as its number says; plain files are opened only for their payload."""
+def by_groups(system: object, s: Saved) -> Iterator[Saved]:
+    """An archive's row groups, each with the bytes that it takes when it is read; other files as they are."""
+    if not archive(s):
+        yield s
+        return
+    import pyarrow.parquet as pq
+
+    about = pq.ParquetFile(system.open_input_file(s.path)).metadata
+    for k in range(about.num_row_groups):
+        yield s._replace(size=about.row_group(k).total_byte_size, groups=(k,))
+
+
+def archived_batches(columns: Sequence[str], system: object, s: Saved, most: int | None, keeps: Callable[[dict], bool] | None) -> Iterator[object]:
+    """An archive's rows as Arrow batches."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    file = pq.ParquetFile(system.open_input_file(s.path))
+    groups = list(range(file.metadata.num_row_groups)) if s.groups is None else list(s.groups)
+    rows, size = (sum(getattr(file.metadata.row_group(k), what) for k in groups) for what in ("num_rows", "total_byte_size"))
+    # what filters compare is read besides what is asked for
+    read = [c for c in COLUMNS if c in columns or keeps is not None and c != "payload"]
+    for b in file.iter_batches(max(1, min(10_000, rows * BATCH_BYTES // max(size, 1))), row_groups=groups, columns=read):
+        b = b if most is None else b.slice(0, most)
+        most = None if most is None else most - b.num_rows
+        if keeps is not None:
+            known = b.select([c for c in read if c != "payload"]).to_pylist()
+            b = b.filter(pa.array([keeps(r | {"fetched_at": utc(r["fetched_at"])}) for r in known], pa.bool_()))
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([b.column(c).cast(pa.timestamp("us", "UTC") if c == "fetched_at" else pa.string(), safe=False) for c in columns], list(columns))
+        if most == 0:
+            return
+
+
+def wanted(columns: Sequence[str], system: object, files: Sequence[tuple[Saved, int | None]], keeps: Callable[[dict], bool] | None = None) -> Iterator[object]:
+    """Arrow batches of the columns asked for, of each file as many rows as its number says; plain files are opened only for their payload."""
+    import pyarrow as pa
+
+    schema = pa.schema([(c, pa.timestamp("us", "UTC") if c == "fetched_at" else pa.string()) for c in columns])
+    rows, size = [], 0
     for s, most in files:
         if archive(s):
-            import pyarrow.parquet as pq
-
-            # what filters compare is read besides what is asked for
-            read = [c for c in COLUMNS if c in columns or c != "payload"]
-            rows = (r for b in pq.ParquetFile(system.open_input_file(s.path)).iter_batches(1000, columns=read) for r in b.to_pylist())
-            for r in islice(rows, most):
-                r["fetched_at"] = utc(r["fetched_at"])
-                if keeps(r):
-                    yield tuple(r[c] for c in columns)
+            yield from archived_batches(columns, system, s, most, keeps)
             continue
         row = {"name": s.name, "target": s.target, "fetched_at": s.fetched_at}
-        if keeps(row):
+        if keeps is None or keeps(row):
             if "payload" in columns:
                 with system.open_input_stream(s.path) as f:
                     row["payload"] = f.read().decode("utf-8", "replace")
-            yield tuple(row[c] for c in columns)
+            rows.append({c: row[c] for c in columns})
+            size += len(row.get("payload", "")) + 100
+            if size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 #: Filters that files are left out by, each a comparison of a file's value with the filter's.
@@ -162,10 +201,12 @@ class PayloadReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         system, files = saved(self.path)
         files = [s for s in files if archive(s) or self.keeps(s._asdict() | {"fetched_at": s.fetched_at})]
+        if self.limit is None:
+            return in_parts((g, None) for s in files for g in by_groups(system, s))
         return in_parts(self._limited(system, files))
 
-    def read(self, partition: Part) -> Iterator[tuple]:
-        return wanted(self.columns, system_of(self.path), partition.files, self.keeps)
+    def read(self, partition: Part) -> Iterator[object]:
+        return wanted(self.columns, system_of(self.path), partition.files, self.keeps if self.filters else None)
 
 
 class PayloadStream(DataSourceStreamReader):
@@ -183,10 +224,11 @@ class PayloadStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
         after, until = (start["written"], start["path"]), (end["written"], end["path"])
-        found = [s for s in saved(self.path)[1] if after < (s.written, s.path) <= until]
-        return in_parts((s, None) for s in sorted(found, key=lambda s: (s.written, s.path)))
+        system, files = saved(self.path)
+        found = [s for s in files if after < (s.written, s.path) <= until]
+        return in_parts((g, None) for s in sorted(found, key=lambda s: (s.written, s.path)) for g in by_groups(system, s))
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[object]:
         return wanted(self.columns, system_of(self.path), partition.files)
 
 
